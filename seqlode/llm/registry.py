@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe_codec, exact_dedup, mixing
+from . import bpe_codec, exact_dedup, mixing, pii, secrets
 from .common import table
 
 
@@ -23,6 +24,16 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.report(exact_dedup.exact_dedup(table(spark, sf_dir, "documents")))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(pii.find_pii(table(spark, sf_dir, "documents")))
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source counts as an owner, each of its languages as a repository."""
+    docs = table(spark, sf_dir, "documents")
+    return secrets.report(secrets.find_secrets(docs, owner=F.col("source"), repo=F.concat_ws("/", "source", "lang")))
+
+
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe_codec.digests(bpe_codec.bpe_round_trip(docs, *tokenizer_files()))
@@ -31,6 +42,8 @@ def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op3_exact_dedup": op3_exact_dedup,
+    "op5_pii": op5_pii,
+    "op6_secrets": op6_secrets,
     "op7_bpe_codec": op7_bpe_codec,
 }
 
