@@ -29,7 +29,7 @@ LOOSE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?[(\[{]at[)\]}]\x20?[A-Za-z0-9-]{1,63}+(?:(?:\x20?[(\[{]dot[)\]}]\x20?|\.)[A-Za-z0-9-]{1,63}+)++",
     "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
     "card": r"(?<![0-9])[0-9]{4}[._/][0-9]{4}[._/][0-9]{4}[._/][0-9]{4}(?![0-9])",
-    "phone": r"(?<![0-9A-Za-z+.])(?<!\+[0-9]{1,3}[\x20.-])\(?[0-9]{2,4}\)?[\x20./-][0-9]{3,4}[\x20./-][0-9]{4}(?![0-9A-Za-z])",
+    "phone": r"(?<![0-9A-Za-z+.(])(?<!\+[0-9]{1,3}[\x20.-])\(?[0-9]{2,4}\)?[\x20./-][0-9]{3,4}[\x20./-][0-9]{4}(?![0-9A-Za-z])",
 }
 #: Words that announce a kind (in the text before a span).
 CUES = {
