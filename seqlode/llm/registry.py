@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, exact_dedup, mixing, pii, secrets
+from . import bpe_codec, exact_dedup, fingerprints, mixing, pii, secrets
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.report(exact_dedup.exact_dedup(table(spark, sf_dir, "documents")))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.report(fingerprints.fingerprint_edits(table(spark, sf_dir, "documents")))
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(pii.find_pii(table(spark, sf_dir, "documents")))
 
@@ -42,6 +46,7 @@ def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_fingerprints": op4_fingerprints,
     "op5_pii": op5_pii,
     "op6_secrets": op6_secrets,
     "op7_bpe_codec": op7_bpe_codec,
