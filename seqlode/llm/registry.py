@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, exact_dedup, fingerprints, mixing, pii, secrets
+from . import bpe_codec, exact_dedup, fingerprints, language_id, mixing, pii, secrets
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.report(mixing.mix(mixing.by_source(table(spark, sf_dir, "documents"))))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.report(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.report(exact_dedup.exact_dedup(table(spark, sf_dir, "documents")))
 
@@ -45,6 +49,7 @@ def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_language_id": op2_language_id,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_fingerprints": op4_fingerprints,
     "op5_pii": op5_pii,
