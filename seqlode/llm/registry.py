@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, exact_dedup, fingerprints, language_id, mixing, pii, secrets
+from . import bpe_codec, exact_dedup, fingerprints, language_id, mixing, pii, secrets, substring_dedup
 from .common import table
 
 
@@ -47,6 +47,10 @@ def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digests(bpe_codec.bpe_round_trip(docs, *tokenizer_files()))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_language_id": op2_language_id,
@@ -55,6 +59,7 @@ QUERIES = {
     "op5_pii": op5_pii,
     "op6_secrets": op6_secrets,
     "op7_bpe_codec": op7_bpe_codec,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLES = {
