@@ -1,11 +1,70 @@
-"""A five-stage corpus pipeline over ``documents``."""
+"""A corpus pipeline over ``documents``: language ID, exact dedup, near-duplicate join, source mix, BPE encoding.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, written as Parquet and read again as the next stage's
+docs. All but the last return the columns of documents. With ``documents`` empty every stage returns no row."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from seqlode.llm import bpe_codec, exact_dedup, language_id, mixing, ngram_join
+from seqlode.llm.common import keep_rows, materialize, table, text_or_empty
+from seqlode.llm.registry import tokenizer_files
+
+#: A document whose best language scores less than this is in none of them.
+MIN_SCORE = 0.25
+
+
+def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the languages that the labelled rows teach; texts that are null, without a letter or unlike
+    all of the languages go."""
+    out = language_id.identify(docs.withColumnsRenamed({"score": "_score", "lang_pred": "_lang_pred"}), language_id.train(docs))
+    out = out.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= MIN_SCORE)).drop("lang_pred", "score")
+    return out.withColumnsRenamed({"_score": "score", "_lang_pred": "lang_pred"}).select(*docs.columns)
+
+
+def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts that are equal but for the case of A-Z, the one with the largest id stays."""
+    kept = exact_dedup.exact_dedup(docs).where("kept").select("doc_id", "digest")
+    digest = exact_dedup.sha256_digest(exact_dedup.fold_ascii(text_or_empty("text")))
+    return keep_rows(docs, kept, {"doc_id": F.col("doc_id"), "digest": digest})
+
+
+def dissimilar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates stays, the one with the least id."""
+    kept = ngram_join.ngram_join(docs).where("kept").select("doc_id", "text_hash")
+    return keep_rows(docs, kept, {"doc_id": F.col("doc_id"), "text_hash": F.xxhash64(text_or_empty("text"))})
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, 0 to 3 times."""
+    taken = mixing.mix(mixing.by_source(docs)).where("repeats > 0")
+    taken = taken.groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(F.max("repeats").alias("_repeats"))
+    rows = docs.withColumn("_words", mixing.word_count())
+    rows = rows.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")))
+    return rows.withColumn("_take", F.explode(F.sequence(F.lit(1), "_repeats"))).select(*docs.columns)
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the token ids and of the bytes they decode to."""
+    return bpe_codec.digests(bpe_codec.bpe_round_trip(docs.select("doc_id", "text"), *tokenizer_files()))
+
+
+STAGES = [
+    ("language_id", identified),
+    ("exact_dedup", deduplicated),
+    ("ngram_join", dissimilar),
+    ("mixing", mixed),
+    ("bpe_codec", encoded),
+]
+
+#: The first stage learns a classifier, which SQL cannot express.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

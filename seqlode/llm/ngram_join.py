@@ -76,7 +76,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
 def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """One row per input row: ``id_col``, ``class_id`` (least id of the rows linked with it, over any number of
     links), ``class_size``, ``n_links`` (other rows with this similarity or more, copies included), ``n_text_links``
-    (other n-gram sets among them), ``kept`` (one row of each class).
+    (other n-gram sets among them), ``kept`` (one row of each class), ``text_hash`` (xxhash64 of the text).
 
     A null text counts as empty; texts without words form one class. Null ids come after all others. ``recall`` is
     the probability with which a pair right at the threshold becomes a candidate; a more similar pair's is higher."""
@@ -99,11 +99,12 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     labelled = materialize(sets.join(labels, "_row", "left").join(links, "_row", "left").withColumn("_label", F.coalesce("_label", "_row")), "labelled")
     classes = materialize(labelled.groupBy("_label").agg(F.min("_first").alias("_keep"), F.sum("_copies").alias("_size")), "classes")
     whole = materialize(labelled.join(classes, "_label").select("_d", "_e", "_n", "_keep", "_size", "_copies", "_texts", "_docs"), "whole")
-    return sig.select("_id", "_row", "_d", "_e", "_n").join(whole, ["_d", "_e", "_n"]).select(
+    return sig.select("_id", "_hash", "_row", "_d", "_e", "_n").join(whole, ["_d", "_e", "_n"]).select(
         F.col("_id").alias(id_col),
         F.col("_keep.id").alias("class_id"),
         F.col("_size").alias("class_size"),
         (F.coalesce("_docs", F.lit(0)) + F.col("_copies") - 1).alias("n_links"),
         F.coalesce("_texts", F.lit(0)).alias("n_text_links"),
         (F.col("_row") == F.col("_keep.row")).alias("kept"),
+        F.col("_hash").alias("text_hash"),
     )
