@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, exact_dedup, fingerprints, language_id, mixing, ngram_join, pii, secrets, substring_dedup
+from . import bpe_codec, exact_dedup, fingerprints, language_id, line_dedup, mixing, ngram_join, pii, secrets, substring_dedup
 from .common import table
 
 
@@ -47,6 +47,10 @@ def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digests(bpe_codec.bpe_round_trip(docs, *tokenizer_files()))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(line_dedup.line_dedup(table(spark, sf_dir, "documents")))
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
 
@@ -63,6 +67,7 @@ QUERIES = {
     "op5_pii": op5_pii,
     "op6_secrets": op6_secrets,
     "op7_bpe_codec": op7_bpe_codec,
+    "op8_line_dedup": op8_line_dedup,
     "op9_ngram_join": op9_ngram_join,
     "op10_substring_dedup": op10_substring_dedup,
 }
