@@ -22,6 +22,8 @@ BLOCK = 1024
 BLOCK_SHINGLES = 2_000_000
 #: Columns of the incidence matrix that are multiplied at a time.
 COLUMNS = 4096
+#: Bits of the filter that passes over most rows when texts of candidates are read again. False hits only cost time.
+FILTER_BITS = 24
 #: Most bands that the choice of bands and rows may use.
 MAX_BANDS = 24
 
@@ -235,6 +237,33 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
+def bitmap(items: DataFrame, col: str, bits: int = FILTER_BITS) -> np.ndarray:
+    """A filter of fixed size: whether a number of ``col`` (bigint) has these last bits."""
+    slot = f"pmod({col}, {1 << bits})"
+    words = items.groupBy(F.expr(f"shiftright({slot}, 6)").alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({slot} & 63 AS int))")).alias("b")).toArrow()
+    out = np.zeros(1 << (bits - 6), dtype=np.int64)
+    out[words["w"].to_numpy()] = words["b"].to_numpy()
+    return out.view(np.uint8)
+
+
+def passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    at = h & (len(bits) * 8 - 1)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def sift(df: DataFrame, col: str, bits: np.ndarray) -> DataFrame:
+    """Rows of ``df`` whose ``col`` passes the filter. They are few before they are dealt to a join, at any size of the
+    table, so the join's exchange does not depend on whether its other side is small enough to be sent around."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ok = passes(bits, np.asarray(batch.column(batch.schema.get_field_index(col))))
+            if ok.any():
+                yield batch.filter(pa.array(ok))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def first_of(*order: Column) -> Column:
     """An aggregate: the least of rows in this order, as a struct."""
     return F.min(F.struct(*order))

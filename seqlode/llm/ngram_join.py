@@ -90,7 +90,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     groups = near.candidate_groups(keys)
     items = materialize(reps.select("_row", "_id", "_hash", "_copies").join(groups, "_row"), "items")
     same = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h"))
-    texts = source.select(F.col("_id").alias("_i"), F.col("_hash").alias("_h"), "_text")
+    texts = near.sift(source.select(F.col("_id").alias("_i"), F.col("_hash").alias("_h"), "_text"), "_h", near.bitmap(items, "_hash"))
     # rows that repeat a representative's id and text repeat the item, which counts once
     joined = items.join(texts, same).select("_row", "_copies", "_groups", "_text")
     found = materialize(near.verify(joined, shingler(n), threshold), "links")
