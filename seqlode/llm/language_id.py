@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,6 +24,7 @@ ORDERS = (2, 3, 4)
 PER_LABEL = 300
 TRAIN_CHARS = 8_000
 LANDMARKS = 60
+MAX_LABELS = 500
 RIDGE = 1e-2
 #: Texts and characters of a scoring batch.
 BATCH_TEXTS = 64
@@ -101,14 +102,28 @@ def _slots(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sample(docs: DataFrame, id_col: str, text_col: str, label_col: str, per_label: int = PER_LABEL) -> list[tuple[str, str, str]]:
-    """At most ``per_label`` (label, order, text) of each label, the first by md5 of the id; each task sends no more than that
-    on, and texts are cut to ``TRAIN_CHARS`` here (and only here)."""
-    order = Window.partitionBy("_label").orderBy("_order", "_text")
+    """At most ``per_label`` (label, order, text) of each label, the first by md5 of the id.
+
+    The labels' counts give each a bound on the hash that about one and a half times as many rows pass, so no task
+    and no more than that reaches the driver. Texts are cut to ``TRAIN_CHARS`` here (and only here)."""
+    order = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
     rows = docs.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull()).select(
-        F.col(label_col).cast("string").alias("_label"), F.substring(text_col, 1, TRAIN_CHARS).alias("_text"), F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("_order")
+        F.col(label_col).cast("string").alias("_label"), F.col(text_col).alias("_text"), order.alias("_order")
     )
-    rows = rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= per_label)
-    return sorted((r["_label"], r["_order"], r["_text"]) for r in rows.collect())
+    counts = {r["_label"]: r["count"] for r in rows.groupBy("_label").count().limit(MAX_LABELS + 1).collect()}
+    if len(counts) > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} labels")
+    share = F.lit(0.0)
+    for label, n in sorted(counts.items()):
+        share = F.when(F.col("_label") == label, min(1.0, 1.5 * per_label / n + 1e-9)).otherwise(share)
+    part = F.conv(F.substring("_order", 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+    found = rows.where(part < share).select("_label", "_order", F.substring("_text", 1, TRAIN_CHARS).alias("_text")).collect()
+    out, taken = [], dict.fromkeys(counts, 0)
+    for r in sorted((r["_label"], r["_order"], r["_text"]) for r in found):
+        if taken[r[0]] < per_label:
+            taken[r[0]] += 1
+            out.append(r)
+    return out
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", ridge: float = RIDGE) -> Model:
