@@ -1 +1 @@
-
+"""Column functions: keys, token strings, n-grams, small arithmetic."""
