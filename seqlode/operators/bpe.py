@@ -98,16 +98,20 @@ def merge_frequencies(docs: DataFrame, merges: list[tuple[int, int, int]]) -> Da
     """``step``, ``a``, ``b``, ``new_id``, ``cnt``: the pair's occurrences, overlapping ones too, just before its merge.
 
     One pass: the sequence before every merge is a column, and its pairs are counted within the row."""
-    s, counts = as_blanked("tokens"), []
-    for i, (a, b, new) in enumerate(merges):
-        own = as_tokens(s)
-        hits = F.size(F.filter(bigrams(own), lambda p, a=a, b=b: (p[0] == a) & (p[1] == b)))
-        counts.append(F.struct(F.lit(i).cast("long").alias("step"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(new).alias("new_id"), hits.cast("long").alias("n")))
-        s = apply_merge(s, a, b, new)
-    rows = docs.select(F.explode(F.array(*counts)).alias("x")) if counts else None
-    if rows is None:
+    if not merges:
         return docs.sparkSession.createDataFrame([], "step long, a int, b int, new_id int, cnt long")
-    return rows.groupBy("x.step", "x.a", "x.b", "x.new_id").agg(F.sum("x.n").alias("cnt"))
+    rows, counts = docs.select(as_blanked("tokens").alias("_s0")), []
+    for i, (a, b, new) in enumerate(merges):
+        # a column of its own, as the pairs are counted in a function of its tokens
+        rows = rows.withColumn(f"_s{i + 1}", apply_merge(F.col(f"_s{i}"), a, b, new)).withColumn(f"_t{i}", as_tokens(F.col(f"_s{i}")))
+        hits = F.size(F.filter(bigrams(f"_t{i}"), _is_pair(a, b))).cast("long")
+        counts.append(F.struct(F.lit(i).cast("long").alias("step"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(new).alias("new_id"), hits.alias("n")))
+    each = rows.select(F.explode(F.array(*counts)).alias("x"))
+    return each.groupBy("x.step", "x.a", "x.b", "x.new_id").agg(F.sum("x.n").alias("cnt"))
+
+
+def _is_pair(a: int, b: int):
+    return lambda p: (p[0] == a) & (p[1] == b)
 
 
 def compression_ratio(original: DataFrame, encoded: DataFrame) -> DataFrame:

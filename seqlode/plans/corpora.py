@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.ngrams import ngrams
 from ..functions.tokens import ordered_tokens, words
 
 
@@ -25,15 +26,13 @@ def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 def contained(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items and the documents that contain their text: ``query_idx``, ``doc_idx``.
 
-    Candidates share the item's first five words, found by a join on word runs; only they are searched."""
-    from ..functions.ngrams import ngrams
-
+    Candidates share the item's second to fifth words, found by a join on word runs; only they are searched."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_idx"), F.col("text").alias("_item"), words("text").alias("tokens"))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc_idx"), F.col("text").alias("_text"))
-    grams = F.explode(F.array_distinct(ngrams(words("_text"), 4)))
+    runs = documents(spark, sf_dir).select("doc_idx", F.explode(F.array_distinct(ngrams("tokens", 4))).alias("gram"))
     # the first word may continue a word of the document, so runs start at the second
     keys = items.select("query_idx", F.slice("tokens", 2, 4).alias("gram")).where(F.size("gram") == 4)
-    near = docs.select("doc_idx", grams.alias("gram")).join(keys, "gram").select("query_idx", "doc_idx").distinct()
+    near = runs.join(keys, "gram").select("query_idx", "doc_idx").distinct()
     long = near.join(items, "query_idx").join(docs, "doc_idx").where(F.contains("_text", F.col("_item"))).select("query_idx", "doc_idx")
     few = items.where(F.size("tokens") < 5).select("query_idx", "_item").join(docs, F.contains("_text", F.col("_item"))).select("query_idx", "doc_idx")
     return long.unionByName(few)

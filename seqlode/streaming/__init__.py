@@ -1 +1 @@
-
+"""Scoring of streamed queries against a fixed corpus."""
