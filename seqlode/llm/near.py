@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +21,11 @@ from .common import materialize
 #: Items of a block, and the size (shingles) from which a bucket is cut into more blocks.
 BLOCK = 1024
 BLOCK_SHINGLES = 2_000_000
+#: Tiles of up to this many items are solved pair by pair, all those of a batch at once.
+PAIRWISE = 4
+#: Whole tiles are gathered up to about this many items or characters.
+HELD_ROWS = 2_000
+HELD_CHARS = 1 << 19
 #: Columns of the incidence matrix that are multiplied at a time.
 COLUMNS = 4096
 #: Bits of the filter that passes over most rows when texts of candidates are read again. False hits only cost time.
@@ -115,41 +121,108 @@ def verify(items: DataFrame, shingles: Callable[[list[str]], tuple[np.ndarray, n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
+        rows = chars = 0
         name = None
         for batch in batches:
             cols = [np.asarray(batch.column(k)) for k in (1, 2, 3)]
             n = batch.num_rows
             if not n:
                 continue
+            size = np.asarray(pc.binary_length(batch.column(batch.schema.get_field_index("_text"))))
+            start = 0
             cut = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
-            for a, b in zip(np.r_[0, cut], np.r_[cut, n], strict=True):
-                this = tuple(int(c[a]) for c in cols)
-                if held and this != name:
-                    yield from _solve(held, name, shingles, threshold)
-                    held = []
-                name = this
-                held.append(batch.slice(a, b - a))
+            first = tuple(int(c[0]) for c in cols)
+            # tiles are solved many at a time; one that goes on in the next batch waits for it
+            for at in [*([0] if held and first != name else []), *cut]:
+                if rows + at - start >= HELD_ROWS or chars + int(size[start:at].sum()) >= HELD_CHARS or at == 0:
+                    if at > start:
+                        held.append(batch.slice(start, at - start))
+                    yield from _solve_all(held, shingles, threshold)
+                    held, rows, chars, start = [], 0, 0, at
+            held.append(batch.slice(start))
+            rows, chars = rows + n - start, chars + int(size[start:].sum())
+            name = tuple(int(c[-1]) for c in cols)
         if held:
-            yield from _solve(held, name, shingles, threshold)
+            yield from _solve_all(held, shingles, threshold)
 
     return dealt.mapInArrow(run, "_row long, _other long, _texts long, _docs long")
 
 
-def _solve(held: list[pa.RecordBatch], name: tuple[int, int, int], shingles, threshold: float) -> Iterator[pa.RecordBatch]:
-    rows = pa.Table.from_batches(held)
-    key, low, high = name
-    ids = rows["_row"].to_numpy()
-    if (again := ids[1:] == ids[:-1]).any():
-        rows = rows.filter(pa.array(np.r_[True, ~again]))
-    ids, copies = rows["_row"].to_numpy(), rows["_copies"].to_numpy()
-    s = len(ids)
-    if s < 2:
+def _ragged(offsets: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the elements of the lists ``which``, one list after another, and the position of each one's list."""
+    n = offsets[which + 1] - offsets[which]
+    of = np.repeat(np.arange(len(which)), n)
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(offsets[which], n), of
+
+
+def _solve_all(held: list[pa.RecordBatch], shingles, threshold: float) -> Iterator[pa.RecordBatch]:
+    """The links of whole tiles that come one after another."""
+    table = pa.Table.from_batches(held).combine_chunks()
+    name = np.stack([table[c].to_numpy() for c in ("_key", "_low", "_high")])
+    ids = table["_row"].to_numpy()
+    again = np.r_[False, (ids[1:] == ids[:-1]) & (name[:, 1:] == name[:, :-1]).all(axis=0)]
+    if again.any():
+        table, name = table.filter(pa.array(~again)), name[:, ~again]
+        table = table.combine_chunks()
+    if not table.num_rows:
         return
-    block = rows["_block"].to_numpy()
-    keys = rows["_keys"].combine_chunks()
-    linked = np.triu(np.ones((s, s), dtype=bool), 1) if low == high else np.not_equal.outer(block, block) & np.triu(np.ones((s, s), dtype=bool), 1)
+    ids, copies, block = (table[c].to_numpy() for c in ("_row", "_copies", "_block"))
+    lists = table["_keys"].chunk(0)
+    keys, key_at = np.asarray(lists.values), np.asarray(lists.offsets).astype(np.int64)
+    at, h = shingles(table["_text"].to_pylist())
+    set_at = np.r_[0, np.cumsum(np.bincount(at, minlength=len(ids)))]
+    edge = np.flatnonzero(np.r_[True, (name[:, 1:] != name[:, :-1]).any(axis=0), True])
+    count = np.diff(edge)
+    small = (count > 1) & (count <= PAIRWISE)
+    pairs = [(edge[:-1][small & (count > j)] + i, edge[:-1][small & (count > j)] + j) for j in range(1, PAIRWISE) for i in range(j)]
+    a, b = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
+    a, b = _linked_pairs(a, b, name, block, keys, key_at, h, set_at, threshold)
+    if len(a):
+        one = np.ones(len(a), np.int64)
+        none = pa.nulls(2 * len(a), pa.int64())
+        yield _out(ids[np.r_[a, b]], none, np.r_[one, one], copies[np.r_[b, a]])
+        yield _out(ids[b], pa.array(ids[a]), 0 * one, 0 * one)
+    for t in np.flatnonzero(count > PAIRWISE):
+        rows = np.arange(edge[t], edge[t + 1])
+        yield from _solve_tile(name[:, rows[0]], ids[rows], copies[rows], block[rows], keys, key_at, rows, h, set_at, threshold)
+
+
+def _linked_pairs(a, b, name, block, keys, key_at, h, set_at, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs of rows of one tile those that belong to it and reach the threshold."""
+    size = np.diff(set_at)
+    low, high = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
+    ok = ((name[1, a] == name[2, a]) | (block[a] != block[b])) & (low >= threshold * high - 1e-9) & (low > 0)
+    a, b = a[ok], b[ok]
+    # a pair that meets in a lower bucket is looked at there
+    x, of = _ragged(key_at, np.r_[a, b])
+    of = of % max(1, len(a))
+    below = keys[x] < name[0, a[of]]
+    k, of = keys[x][below], of[below]
+    order = np.lexsort((k, of))
+    k, of = k[order], of[order]
+    twice = (k[1:] == k[:-1]) & (of[1:] == of[:-1])
+    ok = np.ones(len(a), dtype=bool)
+    ok[of[1:][twice]] = False
+    a, b = a[ok], b[ok]
+    x, of = _ragged(set_at, np.r_[a, b])
+    of = of % max(1, len(a))
+    s = h[x]
+    order = np.lexsort((s, of))
+    s, of = s[order], of[order]
+    common = np.bincount(of[1:][(s[1:] == s[:-1]) & (of[1:] == of[:-1])], minlength=len(a))
+    ok = common * (1 + threshold) >= threshold * (size[a] + size[b]) - 1e-6
+    return a[ok], b[ok]
+
+
+def _solve_tile(name, ids, copies, block, keys, key_at, rows, h, set_at, threshold: float) -> Iterator[pa.RecordBatch]:
+    key, low, high = (int(x) for x in name)
+    s = len(ids)
+    linked = np.triu(np.ones((s, s), dtype=bool), 1)
+    if low != high:
+        linked &= np.not_equal.outer(block, block)
     # pairs that meet in a lower bucket are looked at there
-    flat, of = np.asarray(keys.flatten()), np.repeat(np.arange(s), np.diff(np.asarray(keys.offsets)))
+    x, of = _ragged(key_at, rows)
+    flat = keys[x]
     below = flat < key
     flat, of = flat[below], of[below]
     order = np.argsort(flat, kind="stable")
@@ -158,15 +231,13 @@ def _solve(held: list[pa.RecordBatch], name: tuple[int, int, int], shingles, thr
     for a, b in zip(edge[:-1], edge[1:], strict=True):
         if b - a > 1:
             linked[np.ix_(of[a:b], of[a:b])] = False
-    if not linked.any():
-        return
-    at, h = shingles(rows["_text"].to_pylist())
-    size = np.bincount(at, minlength=s)
+    size = np.diff(set_at)[rows]
     # a pair below this size ratio cannot reach the threshold
     linked &= np.minimum.outer(size, size) >= threshold * np.maximum.outer(size, size) - 1e-9
     if not linked.any():
         return
-    linked &= _common(at, h, s) * (1 + threshold) >= threshold * np.add.outer(size, size) - 1e-6
+    x, at = _ragged(set_at, rows)
+    linked &= _common(at, h[x], s) * (1 + threshold) >= threshold * np.add.outer(size, size) - 1e-6
     both = linked | linked.T
     texts = both.sum(axis=1)
     some = np.flatnonzero(texts)
