@@ -53,7 +53,7 @@ def exact_dedup(
         rows = keyed
     else:
         rows = keyed.drop("_content")
-    first = F.row_number().over(Window.partitionBy("_digest", "_salt", "_id").orderBy(F.lit(0)))
+    first = F.row_number().over(Window.partitionBy(*on, "_id").orderBy(F.lit(0)))
     return rows.join(parts, on).select(
         F.col("_id").alias(id_col),
         F.col("_digest").alias("digest"),
