@@ -33,13 +33,13 @@ SLOT_BITS = 21
 UNDETERMINED = "und"
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
-_END = 1
+_END, _BLANK = 1, 2
 
 
 @functools.cache
 def _letters() -> np.ndarray:
-    """For each code point: itself if it is a letter, else 0, the common blank; 1 for the end mark."""
-    out = np.zeros(0x110000, dtype=np.uint32)
+    """For each code point: itself if it is a letter, else the common blank; the end mark for 0."""
+    out = np.full(0x110000, _BLANK, dtype=np.uint32)
     for c in range(1, 0x110000):
         if chr(c).isalpha():
             out[c] = c
@@ -47,21 +47,26 @@ def _letters() -> np.ndarray:
     return out
 
 
-def _grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _grams(texts: list[str], inner: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each order: hashes of all n-grams of the texts, and the text each belongs to. N-grams over the end of a
-    text hold the end mark, which no landmark n-gram has."""
+    text hold the end mark; ``inner`` leaves them out, as the landmarks do, so no other text's can match."""
     lower = [t.lower() for t in texts]
     code = np.frombuffer(("\0".join(lower) + "\0").encode("utf-32-le"), dtype=np.uint32)
-    code = _letters()[code].astype(np.uint64)
+    code = _letters()[code]
     row = np.repeat(np.arange(len(lower), dtype=np.int32), [len(t) + 1 for t in lower])
-    h = code * _MUL
+    h = code.astype(np.uint64) * _MUL
     h ^= h >> np.uint64(29)
     unit = h.copy()
     for n in range(2, max(ORDERS) + 1):
         h = h[:-1] * np.uint64(0xD6E8FEB86659FD93) + unit[n - 1 :]
         if n in ORDERS:
             mixed = (h ^ (h >> np.uint64(32))) * _MUL
-            yield mixed, row[: len(mixed)]
+            at = row[: len(mixed)]
+            if inner:
+                ends = np.r_[0, np.cumsum(code == _END)]
+                ok = ends[n:] == ends[: len(mixed)]
+                mixed, at = mixed[ok], at[ok]
+            yield mixed, at
 
 
 @dataclass
@@ -138,7 +143,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
             taken[label] += 1
             marks.append(text)
     marks = marks or [r[2] for r in rows]
-    sets = [np.unique(np.concatenate([h for h, _ in _grams([t])])) for t in marks]
+    sets = [np.unique(np.concatenate([h for h, _ in _grams([t], inner=True)])) for t in marks]
     grams, count = np.unique(np.concatenate(sets), return_counts=True)
     # one n-gram a slot, the most frequent one
     slot, _ = _slots(grams)
