@@ -7,6 +7,7 @@ repetition, so fresh words are used before repeated ones. Seeded documents then
 from __future__ import annotations
 
 import heapq
+import itertools
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -20,6 +21,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 MAX_REPEATS = 3
 #: Hexadecimal digits of the order key that name a bucket: 4096 buckets a pattern.
 BUCKET_DIGITS = 3
+#: Size classes, in parts of what a pattern misses or its mean size, from which the last moves are chosen; sizes reach
+#: twice that.
+CLASSES = 8
 #: More patterns than this are refused, as the network is solved on the driver.
 MAX_PATTERNS = 20_000
 
@@ -135,8 +139,8 @@ def mix(
 
     ``members_col`` is an array of sources, which may hold null (a source of its own); a null or empty array counts
     as [null]. Of a pattern's words the routed amount is filled in the order of md5(seed, id): whole passes, then
-    the leading documents that fit the rest, then the one document whose size is nearest to what is missing, if
-    taking it comes nearer. A null text has size 0; rows with one id are told apart by size only."""
+    the leading documents that fit the rest, then up to three of either kind change places where that comes nearer to the amount.
+    A null text has size 0; rows with one id are told apart by size only."""
     spark = docs.sparkSession
     members = F.when(F.size(members_col) > 0, F.array_sort(F.array_distinct(members_col))).otherwise(F.array(F.lit(None).cast("string")))
     order = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
@@ -146,6 +150,7 @@ def mix(
             members.alias("_members"),
             word_count(text_col).alias("_size"),
             order.alias("_order"),
+            F.monotonically_increasing_id().alias("_row"),
         ),
         "sizes",
     )
@@ -163,19 +168,13 @@ def mix(
     plan = materialize(plan.join(border.withColumnRenamed("_pattern", "_p"), F.col("_pattern").eqNullSafe(F.col("_p")), "left").drop("_p").coalesce(1), "plan")
     rows = sized.join(F.broadcast(plan), F.col("_members").eqNullSafe(F.col("_pattern"))).withColumn("_at", at)
     inside = F.col("_at") == F.col("_border._bucket")
-    within = F.sum("_size").over(Window.partitionBy("_pattern").orderBy("_order", "_id", "_size").rowsBetween(Window.unboundedPreceding, 0))
+    within = F.sum("_size").over(Window.partitionBy("_pattern").orderBy("_order", "_id", "_size", "_row").rowsBetween(Window.unboundedPreceding, 0))
     edge = rows.where(inside).withColumn("_fits", F.col("_border._before") + within <= F.col("_rest"))
     outer = rows.where(~F.coalesce(inside, F.lit(False))).withColumn("_fits", F.when(F.col("_border").isNull(), F.col("_rest") > 0).otherwise(F.col("_at") < F.col("_border._bucket")))
-    chosen = materialize(outer.unionByName(edge).select("_id", "_members", "_size", "_order", "_pattern", "_full", "_rest", "_source_size", "_target", "_fits"), "chosen")
-    # what is missing of each pattern, and the document that fills it best
-    missing = chosen.groupBy("_pattern").agg((F.max("_rest") - F.coalesce(F.sum(F.when(F.col("_fits"), F.col("_size"))), F.lit(0))).alias("_missing"))
-    missing = missing.withColumnRenamed("_pattern", "_p")
-    near = chosen.where("NOT _fits AND _size > 0").join(F.broadcast(missing), F.col("_pattern").eqNullSafe(F.col("_p")))
-    near = near.where(F.abs(F.col("_size") - F.col("_missing")) < F.col("_missing"))
-    best = near.groupBy("_p").agg(F.min(F.struct(F.abs(F.col("_size") - F.col("_missing")).alias("gap"), "_order", "_id", "_size")).alias("_best"))
-    out = chosen.join(F.broadcast(best), F.col("_pattern").eqNullSafe(F.col("_p")), "left")
-    same = (F.col("_order") == F.col("_best._order")) & F.col("_id").eqNullSafe(F.col("_best._id")) & (F.col("_size") == F.col("_best._size"))
-    extra = F.col("_fits") | F.coalesce(same, F.lit(False))
+    chosen = materialize(outer.unionByName(edge).select("_row", "_id", "_members", "_size", "_order", "_pattern", "_full", "_rest", "_source_size", "_target", "_fits"), "chosen")
+    picked = _picked(chosen)
+    out = chosen.join(F.broadcast(picked), F.col("_row") == F.col("_pick"), "left")
+    extra = F.col("_fits") != F.col("_pick").isNotNull()
     repeats = F.least(F.col("_full") + extra.cast("int"), F.lit(MAX_REPEATS))
     return out.select(
         F.col("_id").alias(id_col),
@@ -188,6 +187,30 @@ def mix(
     )
 
 
+def _picked(chosen: DataFrame) -> DataFrame:
+    """``_pick``, the rows whose choice is turned round so that each pattern's words come nearer to what is routed.
+
+    Of the documents left out and of those chosen the first one of each size class is looked at: a bounded number for
+    each pattern, from which the best one, two or three moves are taken."""
+    size = F.when(F.col("_fits"), F.col("_size"))
+    missing = chosen.groupBy("_pattern").agg((F.max("_rest") - F.coalesce(F.sum(size), F.lit(0))).alias("_missing"), F.avg("_size").alias("_mean"))
+    missing = missing.where("_missing > 0").select(F.col("_pattern").alias("_p"), "_missing", F.greatest("_missing", "_mean").alias("_scale"))
+    moves = chosen.join(F.broadcast(missing), F.col("_pattern").eqNullSafe(F.col("_p"))).where("_size > 0 AND _size < 2 * _scale")
+    class_ = F.floor(F.col("_size") * CLASSES / F.col("_scale"))
+    first = F.min(F.struct("_order", "_id", "_size", "_row")).alias("x")
+    found = moves.groupBy("_p", "_missing", "_fits", class_.alias("class")).agg(first).orderBy("_p", "_fits", "class").collect()
+    by: dict = {}
+    for r in found:
+        by.setdefault(tuple(r["_p"]), (r["_missing"], []))[1].append((-r["x"]["_size"] if r["_fits"] else r["x"]["_size"], r["x"]["_row"]))
+    picks = []
+    for want, given in by.values():
+        sets = (c for n in (1, 2, 3) for c in itertools.combinations(given, n))
+        best = min(sets, key=lambda c: abs(want - sum(n for n, _ in c)))
+        if abs(want - sum(n for n, _ in best)) < want:
+            picks += [row for _, row in best]
+    return chosen.sparkSession.createDataFrame([(x,) for x in picks], "_pick long")
+
+
 def _plan(spark: SparkSession, found: list, weights: tuple[int, ...]) -> DataFrame:
     """A row per pattern: whole passes, words beyond them, its first source's size and target."""
     names = list(dict.fromkeys(m for r in found for m in r["_members"]))
