@@ -19,9 +19,9 @@ MIN_SCORE = 0.25
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages that the labelled rows teach; texts that are null, without a letter or unlike
     all of the languages go."""
-    out = language_id.identify(docs.withColumnsRenamed({"score": "_score", "lang_pred": "_lang_pred"}), language_id.train(docs))
-    out = out.where((F.col("lang_pred") != language_id.UNDETERMINED) & (F.col("score") >= MIN_SCORE)).drop("lang_pred", "score")
-    return out.withColumnsRenamed({"_score": "score", "_lang_pred": "lang_pred"}).select(*docs.columns)
+    label, score = "_seqlode_label", "_seqlode_score"
+    out = language_id.identify(docs, language_id.train(docs), label_out=label, score_out=score)
+    return out.where((F.col(label) != language_id.UNDETERMINED) & (F.col(score) >= MIN_SCORE)).select(*docs.columns)
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,10 +40,10 @@ def dissimilar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them, 0 to 3 times."""
     taken = mixing.mix(mixing.by_source(docs)).where("repeats > 0")
-    taken = taken.groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(F.max("repeats").alias("_repeats"))
-    rows = docs.withColumn("_words", mixing.word_count())
-    rows = rows.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")))
-    return rows.withColumn("_take", F.explode(F.sequence(F.lit(1), "_repeats"))).select(*docs.columns)
+    taken = taken.groupBy(F.col("doc_id").alias("_seqlode_id"), F.col("size").alias("_seqlode_size")).agg(F.max("repeats").alias("_seqlode_repeats"))
+    rows = docs.withColumn("_seqlode_words", mixing.word_count())
+    rows = rows.join(taken, F.col("doc_id").eqNullSafe(F.col("_seqlode_id")) & (F.col("_seqlode_words") == F.col("_seqlode_size")))
+    return rows.withColumn("_seqlode_take", F.explode(F.sequence(F.lit(1), "_seqlode_repeats"))).select(*docs.columns)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -61,9 +61,9 @@ def shuffle_partitions(spark: SparkSession) -> int:
 def keep_rows(docs: DataFrame, decisions: DataFrame, keys: dict[str, Column]) -> DataFrame:
     """The rows of ``docs`` whose ``keys`` (name: column of ``docs``) are in ``decisions``, whose columns have those
     names; rows that agree in all keys count once. Nulls agree with nulls."""
-    renamed = decisions.select(*(F.col(k).alias(f"_{k}_kept") for k in keys)).distinct()
-    rows = docs.withColumns({f"_{k}_key": c for k, c in keys.items()})
-    same = [F.col(f"_{k}_key").eqNullSafe(F.col(f"_{k}_kept")) for k in keys]
+    renamed = decisions.select(*(F.col(k).alias(f"_seqlode_{k}_kept") for k in keys)).distinct()
+    rows = docs.withColumns({f"_seqlode_{k}_key": c for k, c in keys.items()})
+    same = [F.col(f"_seqlode_{k}_key").eqNullSafe(F.col(f"_seqlode_{k}_kept")) for k in keys]
     rows = rows.join(renamed, reduce(Column.__and__, same), "left_semi")
-    first = F.row_number().over(Window.partitionBy(*(f"_{k}_key" for k in keys)).orderBy(F.lit(0)))
-    return rows.withColumn("_first", first).where("_first = 1").select(*docs.columns)
+    first = F.row_number().over(Window.partitionBy(*(f"_seqlode_{k}_key" for k in keys)).orderBy(F.lit(0)))
+    return rows.withColumn("_seqlode_first", first).where("_seqlode_first = 1").select(*docs.columns)
