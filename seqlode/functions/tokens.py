@@ -12,7 +12,7 @@ def parse_tokens(c: str | Column) -> Column:
     Parts that are no integers are skipped, among them the bracketed ends of a JSON-style list."""
     c = F.col(c) if isinstance(c, str) else c
     parts = F.when(F.contains(c, F.lit(",")), F.split(c, ",")).otherwise(F.split(F.trim(c), r"\s+"))
-    whole = F.filter(F.transform(parts, F.trim), lambda t: t.rlike("^-*[0-9]+$"))
+    whole = F.filter(F.transform(parts, lambda t: F.trim(t)), lambda t: t.rlike("^-*[0-9]+$"))
     return F.filter(F.transform(whole, lambda t: t.try_cast("int")), lambda t: t.isNotNull())
 
 

@@ -35,7 +35,9 @@ def _batches(q: list, d: list) -> Iterator[np.ndarray]:
 
 def _codes(q: list, d: list) -> tuple[list, list]:
     """The sequences as small numbers, equal for equal tokens."""
-    flat = np.concatenate([np.asarray(x) for x in (*q, *d)]) if q else np.zeros(0, int)
+    if not q:
+        return [], []
+    flat = np.concatenate([np.asarray(x) for x in (*q, *d)])
     _, codes = np.unique(flat, return_inverse=True)
     parts = np.split(codes, np.cumsum([len(x) for x in (*q, *d)])[:-1])
     return parts[: len(q)], parts[len(q) :]

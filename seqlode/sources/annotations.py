@@ -9,7 +9,7 @@ from ..functions.keys import path_stem
 
 
 def _xml_attribute(spark: SparkSession, path: str, xpath: str) -> DataFrame:
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     return whole.select(F.posexplode(F.xpath("value", F.lit(xpath))).alias("pos", "x"))
 
 

@@ -63,7 +63,7 @@ def read_relevance(spark: SparkSession, path: str, ids: str = "stem") -> DataFra
     follows their last underscore, "raw" the strings themselves. A key with an empty list has a row with a null
     document."""
     make: dict[str, callable] = {"stem": path_stem, "suffix": normalized_id, "raw": lambda c: c}
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     pairs = raw.select(F.posexplode(F.map_entries(F.from_json("value", "map<string,string>"))).alias("key_order", "e"))
     named = F.from_json("e.value", "struct<relevant:array<string>>")["relevant"]
     listed = F.when(F.col("e.value").startswith("{"), named).otherwise(F.from_json("e.value", "array<string>"))
@@ -84,7 +84,7 @@ def read_manifest(spark: SparkSession, path: str, languages: list[str] | None =
 
 def read_centroids(spark: SparkSession, path: str, expect: dict | None = None) -> DataFrame:
     """Centroids written by ``write_centroids``: ``token``, ``centroid``. ``expect`` is compared with what was noted."""
-    noted = json.loads(spark.read.option("wholetext", True).text(f"{path}/about").first()["value"])
+    noted = json.loads(spark.read.text(f"{path}/about", wholetext=True).first()["value"])
     wrong = {k: (v, noted.get(k)) for k, v in (expect or {}).items() if noted.get(k) != v}
     if wrong:
         raise ValueError(f"{path} was made otherwise: {wrong}")

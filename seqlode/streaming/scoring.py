@@ -47,6 +47,7 @@ def rank_stream(queries: DataFrame, scorer: Scorer, write: Callable[[DataFrame,
 
 def windowed_counts(tokens: DataFrame, time_col: str, token_col: str, window: str, late: str, slide: str | None = None) -> DataFrame:
     """Token counts of event-time windows; rows later than ``late`` are dropped: ``start``, ``end``, ``token``, ``cnt``."""
+    tokens = tokens.withColumn(time_col, F.col(time_col).cast("timestamp"))
     span = F.window(time_col, window, slide) if slide else F.window(time_col, window)
     rows = tokens.withWatermark(time_col, late).groupBy(span.alias("w"), F.col(token_col).alias("token")).agg(F.count(F.lit(1)).alias("cnt"))
     return rows.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "token", "cnt")
