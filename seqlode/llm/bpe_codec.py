@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import text_batches
+
 #: Texts above this many characters are encoded piecewise.
 LONG_TEXT = 1 << 16
 #: Output batches hold about this many characters of input.
-BATCH_CHARS = 1 << 22
+BATCH_CHARS = 1 << 20
 
 #: A word character followed by a blank: no match of the pre-split pattern reaches across that point, and what
 #: follows it is matched as it would be after the whole prefix, since only white space looks ahead.
@@ -72,7 +74,8 @@ def bpe_encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "te
 
     A null text counts as empty and gives an empty array. Other columns pass through, an existing ``ids_col`` is
     replaced; rows are neither added nor dropped."""
-    rest = [f for f in df.schema.fields if f.name not in (ids_col,)]
+    text_batches(df.sparkSession)
+    rest = [f for f in df.schema.fields if f.name != ids_col]
     out = pa.list_(pa.int32())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -92,6 +95,7 @@ def bpe_encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "te
 def bpe_decode(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "token_ids", bytes_col: str = "decoded") -> DataFrame:
     """Add ``bytes_col`` (binary): the raw bytes of each id array. Token borders may fall inside a character, so the
     result is bytes, not text. Null and empty arrays give empty bytes."""
+    text_batches(df.sparkSession)
     rest = [f for f in df.schema.fields if f.name != bytes_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,6 +112,7 @@ def bpe_decode(df: DataFrame, ranks_path: str, pattern: str, ids_col: str = "tok
 def bpe_round_trip(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text") -> DataFrame:
     """``token_ids`` and ``decoded`` for each text in one pass over the workers (the two steps above in turn cost a
     second transfer of every id)."""
+    text_batches(df.sparkSession)
     rest = [f for f in df.schema.fields if f.name not in ("token_ids", "decoded")]
     out = pa.list_(pa.int32())
 

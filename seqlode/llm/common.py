@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -67,3 +68,28 @@ def keep_rows(docs: DataFrame, decisions: DataFrame, keys: dict[str, Column]) ->
     rows = rows.join(renamed, reduce(Column.__and__, same), "left_semi")
     first = F.row_number().over(Window.partitionBy(*(f"_seqlode_{k}_key" for k in keys)).orderBy(F.lit(0)))
     return rows.withColumn("_seqlode_first", first).where("_seqlode_first = 1").select(*docs.columns)
+
+
+#: Rows of a batch of texts that a Python worker gets at a time, and of a batch of numbers.
+TEXT_ROWS, NUMBER_ROWS = 1_000, 20_000
+_BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Let Python workers get texts in batches of TEXT_ROWS at most, from now on in this session.
+
+    Spark's default of 10,000 rows holds tens of megabytes of texts several times over in each worker and JVM. Spark
+    reads the setting when a plan runs, which for a returned DataFrame is after the operator's call."""
+    if int(spark.conf.get(_BATCH_ROWS)) > TEXT_ROWS or int(spark.conf.get(_BATCH_ROWS)) <= 0:
+        spark.conf.set(_BATCH_ROWS, TEXT_ROWS)
+
+
+@contextmanager
+def number_batches(spark: SparkSession):
+    """Batches of NUMBER_ROWS while a table of numbers is written."""
+    was = spark.conf.get(_BATCH_ROWS)
+    spark.conf.set(_BATCH_ROWS, NUMBER_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_ROWS, was)

@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import text_batches
+
 #: Orders of the blended spectrum.
 ORDERS = (2, 3, 4)
 #: Bounds of the training sample: texts a language, characters of each of them, landmarks a language.
@@ -196,6 +198,7 @@ def predict_texts(model: Model, texts: list[str | None]) -> tuple[list[str], lis
 def identify(docs: DataFrame, model: Model, text_col: str = "text", label_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
     """Add ``label_out`` and ``score_out`` (0 to 1), from the whole text alone. Other columns pass through; columns of
     these names are replaced. A null text, or one without a letter, gives ``und`` and 0."""
+    text_batches(docs.sparkSession)
     rest = [f for f in docs.schema.fields if f.name not in (label_out, score_out)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

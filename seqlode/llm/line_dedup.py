@@ -19,14 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing, near
-from .common import materialize, text_or_empty
+from .common import materialize, number_batches, text_batches, text_or_empty
 
 SHINGLE = 8
 THRESHOLD = 0.8
 RECALL = 0.998
 MAX_BANDS = 13
 SMALL = 160
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 18
 #: Bits of the filter that passes over most lines when texts of candidates are read again. False hits only cost time.
 FILTER_BITS = 24
 _HASH_BITS = 44
@@ -279,13 +279,15 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Occurrences are ordered by id, row and line number; null ids come last. A null or empty text has one line, which
     is blank. ``drop_lines`` applies the result to a text."""
+    text_batches(docs.sparkSession)
     bands, rows = near.choose_bands(threshold, recall, MAX_BANDS)
     text = text_or_empty(text_col).alias("_text")
     source = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), text)
     found = materialize(occurrences(source, k, threshold, bands, rows), "lines")
     each, heads = found.where("_line >= 0"), found.where("_line = -1")
     keys = each.select(F.explode("_list").alias("_key"), F.col("_h").alias("_row"), "_n")
-    shared = materialize(shared_keys(keys), "shared")
+    with number_batches(docs.sparkSession):
+        shared = materialize(shared_keys(keys), "shared")
     items = materialize(near.candidate_groups(shared), "items")
     texts = candidate_lines(docs.select(text), _filter(items))
     known = items.join(texts, F.col("_row") == F.col("_h")).select("_row", F.lit(1).cast("long").alias("_copies"), "_groups", "_text")

@@ -13,12 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing, near
-from .common import materialize, text_or_empty
+from .common import materialize, text_batches, text_or_empty
 
 NGRAM = 5
 THRESHOLD = 0.8
 RECALL = 0.9995
-BATCH_CHARS = 1 << 21
+BATCH_CHARS = 1 << 18
 
 
 def shingler(n: int):
@@ -80,6 +80,7 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A null text counts as empty; texts without words form one class. Null ids come after all others. ``recall`` is
     the probability with which a pair right at the threshold becomes a candidate; a more similar pair's is higher."""
+    text_batches(docs.sparkSession)
     bands, rows = near.choose_bands(threshold, recall)
     source = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_or_empty(text_col)).alias("_hash"), text_or_empty(text_col).alias("_text"))
     sig = materialize(signatures(source, n, bands, rows).withColumn("_row", F.monotonically_increasing_id()), "signatures")

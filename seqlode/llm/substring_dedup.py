@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import materialize, text_or_empty
+from .common import materialize, text_batches, text_or_empty
 
 #: A span has at least this many sentences and words.
 SENTENCES = 3
@@ -23,7 +23,7 @@ MIN_WORDS = 24
 #: Without a mark, a sentence is cut after a word of this class, one word in ten.
 CUT = 10
 #: Texts are cut and hashed in batches of about this many characters.
-BATCH_CHARS = 1 << 21
+BATCH_CHARS = 1 << 18
 
 _MARKS = np.zeros(256, dtype=bool)
 _MARKS[[ord(c) for c in ".!?"]] = True
@@ -120,6 +120,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A null text counts as empty. Rows that share an id share their removals' order: the places of one id count as
     earlier or later by sentence number. A null id counts as the largest."""
+    text_batches(docs.sparkSession)
     found = materialize(spans(docs, id_col, text_col, sentences, min_words), "spans")
     place = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("d"), F.col("_i").alias("i"))
     many = found.groupBy("_span").agg(F.count(F.lit(1)).alias("_n"), F.min(place).alias("_first")).where("_n > 1").select("_span", "_first")
