@@ -169,3 +169,25 @@ def test_windowed_counts(spark, tmp_path):
     q.stop()
     want = events.groupBy(F.window("ts", "1 day").alias("w"), "event_type").count().select(F.col("w.start").cast("timestamp"), "event_type", "count").collect()
     assert sorted(map(tuple, spark.table("counts").select("start", "token", "cnt").collect())) == sorted(map(tuple, want))
+
+
+def test_audio_to_tokens(spark, tmp_path):
+    import numpy as np
+
+    from seqlode.operators.quantize import fit_centroids
+    from seqlode.sources import audio
+
+    t = np.arange(16000) / 8000
+    for name, pitch in (("low", 200), ("high", 3000)):
+        with wave.open(str(tmp_path / f"{name}.wav"), "wb") as w:
+            w.setparams((2, 2, 8000, 0, "NONE", ""))
+            x = (np.sin(2 * np.pi * pitch * t) * 20000).astype("<i2")
+            w.writeframes(np.stack([x, x], axis=1).tobytes())
+    (tmp_path / "bad.wav").write_bytes(b"no audio")
+    frames = audio.read_frames(spark, str(tmp_path))
+    rows = frames.collect()
+    assert {r.stem: r.error is None for r in rows} == {"low": True, "high": True, "bad": False}
+    assert sum(r.stem == "low" for r in rows) == 100
+    centroids = fit_centroids(frames.where("error IS NULL"), 2)
+    tokens = {r.stem: max(set(r.tokens), key=r.tokens.count) for r in audio.tokenised(frames, centroids).collect()}
+    assert set(tokens) == {"low", "high"} and tokens["low"] != tokens["high"]
