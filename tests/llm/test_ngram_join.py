@@ -78,3 +78,15 @@ def test_messy(messy):
 
 def test_empty(empty):
     assert N.ngram_join(empty).collect() == []
+
+
+def test_tiles_go_on_in_later_batches(spark, make):
+    from .conftest import rows_of
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    spark.conf.set(name, 7)
+    try:
+        compare(make(rows_of(near_copies(90) + near_copies(2, seed=1) + near_copies(3, seed=2))))
+    finally:
+        spark.conf.set(name, was)
