@@ -86,6 +86,11 @@ def warp_costs(q: list, d: list) -> np.ndarray:
     return out
 
 
+def _numbers(tokens: Column) -> Column:
+    """Tokens as 64-bit hashes, so that workers get numbers whatever the tokens are."""
+    return F.transform(tokens, lambda t: F.xxhash64(t))
+
+
 def alignment_score(query: Column, doc: Column, match: float = 2.0, mismatch: float = -1.0, gap: float = -2.0, per: str = "query") -> Column:
     """Smith-Waterman score of two token arrays. ``per``: "query" divides by the query's length (range 0 to
     ``match``), "best" by ``match`` times that (0 to 1), "raw" does not divide."""
@@ -94,7 +99,7 @@ def alignment_score(query: Column, doc: Column, match: float = 2.0, mismatch: fl
     def score(q: pd.Series, d: pd.Series) -> pd.Series:
         return pd.Series(local_scores(list(q), list(d), match, mismatch, gap))
 
-    raw = score(query, doc)
+    raw = score(_numbers(query), _numbers(doc))
     if per == "raw":
         return raw
     return F.when(F.size(query) == 0, F.lit(0.0)).otherwise(raw / (F.size(query) * (match if per == "best" else 1.0)))
@@ -107,7 +112,7 @@ def warping_distance(query: Column, doc: Column) -> Column:
     def cost(q: pd.Series, d: pd.Series) -> pd.Series:
         return pd.Series(warp_costs(list(q), list(d)))
 
-    return F.when((F.size(query) == 0) | (F.size(doc) == 0), F.lit(1.0)).otherwise(cost(query, doc) / (F.size(query) + F.size(doc)))
+    return F.when((F.size(query) == 0) | (F.size(doc) == 0), F.lit(1.0)).otherwise(cost(_numbers(query), _numbers(doc)) / (F.size(query) + F.size(doc)))
 
 
 def aligned(candidates: DataFrame, queries: DataFrame, docs: DataFrame, match: float = 2.0, mismatch: float = -1.0, gap: float = -2.0) -> DataFrame:

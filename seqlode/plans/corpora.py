@@ -13,9 +13,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df``, dealt by ``key`` if its files give fewer tasks than there are cores (a small table in one row group);
+    a table of many splits is left as it is."""
+    return df.repartition(key) if df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of the documents."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc_idx"), words(F.coalesce("text", F.lit(""))).alias("tokens"))
+    rows = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc_idx"), "text"), "doc_idx")
+    return rows.select("doc_idx", words(F.coalesce("text", F.lit(""))).alias("tokens"))
 
 
 def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
