@@ -1,8 +1,10 @@
 """Substring deduplication by sliding sentence spans.
 
-Sentences end at sentence marks and line feeds; longer ones are cut further where the text itself says so (after a
-word whose hash falls into a fixed class), so a passage is cut alike wherever it stands. From every sentence a span
-runs over at least SENTENCES sentences and MIN_WORDS words. Span hashes are joined over the whole table; sentences
+Sentences end at sentence marks and line feeds; longer ones are cut further where the text itself says so (where the
+word of the least hash among the last CUT ones changes), so a passage is cut alike wherever it stands, from its word
+CUT on, and no sentence has more than CUT words. From every sentence a span runs over at least SENTENCES sentences and
+MIN_WORDS words. The first cut of a shared run is at most 2 CUT words from its start and a span ends less than CUT
+words after its MIN_WORDS-th, so a run of 3 CUT + MIN_WORDS - 1 = 50 words holds a whole span. Span hashes are joined over the whole table; sentences
 covered by a span that also occurs earlier (smaller id, then earlier place) are removed."""
 
 from __future__ import annotations
@@ -20,13 +22,47 @@ from .common import materialize, text_batches, text_or_empty
 #: A span has at least this many sentences and words.
 SENTENCES = 3
 MIN_WORDS = 24
-#: Without a mark, a sentence is cut after a word of this class, one word in ten.
-CUT = 10
+#: Without a mark, a sentence is cut after at most so many words.
+CUT = 9
 #: Texts are cut and hashed in batches of about this many characters.
 BATCH_CHARS = 1 << 18
 
 _MARKS = np.zeros(256, dtype=bool)
 _MARKS[[ord(c) for c in ".!?"]] = True
+#: Further marks by their bytes in UTF-8, as one number.
+_WIDE_MARKS = {n: np.array([int.from_bytes(c.encode(), "big") for c in marks]) for n, marks in {2: "\u037e؟۔", 3: "…‼⁇⁈⁉。｡！？．।॥።။។"}.items()}
+
+
+def _marked(data: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether a sentence mark is the last character of the words that end at ``end``."""
+    out = _MARKS[data[end - 1]]
+    wide = np.flatnonzero(data[end - 1] >= 0x80)
+    if len(wide):
+        at = end[wide]
+        tail = data[at - 1].astype(np.int64) | data[at - 2].astype(np.int64) << 8
+        out[wide] = np.isin(tail, _WIDE_MARKS[2]) | np.isin(tail | data[np.maximum(at - 3, 0)].astype(np.int64) << 16, _WIDE_MARKS[3])
+    return out
+
+
+def _further(word: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Where sentences that end at ``stop`` are cut further: after CUT words, then wherever the place of the least hash
+    among the last CUT words is another than one word before. Whether a word is a cut depends on the CUT words before
+    it and on itself, and no CUT words in a row are without one."""
+    n = len(word)
+    out = np.zeros(n, dtype=bool)
+    if n <= CUT:
+        return out  # the last word of a text ends its sentence anyway
+    begin = np.r_[0, np.flatnonzero(stop[:-1]) + 1]
+    since = np.arange(1, n + 1) - np.repeat(begin, np.diff(np.r_[begin, n]))
+    # least of the CUT - 1 words between the one that leaves and the one that enters
+    least = word[1:-1].copy()
+    size = 1
+    while size < CUT - 1:
+        step = min(size, CUT - 1 - size)
+        least = np.minimum(least[: len(least) - step], least[step:])
+        size += step
+    out[CUT:] = ((word[:-CUT] < least) | (word[CUT:] <= least)) & (since[CUT:] > CUT)
+    return out | (since == CUT)
 
 
 def _pieces(texts: list[str]):
@@ -39,8 +75,9 @@ def _pieces(texts: list[str]):
     n = len(word)
     feed = np.cumsum(data == 10)
     last = np.r_[row[1:] != row[:-1], True]
-    stop = last | _MARKS[data[end - 1]] | (word % np.uint64(CUT) == 0)
+    stop = last | _marked(data, end)
     stop[:-1] |= feed[start[1:]] > feed[end[:-1] - 1]
+    stop |= _further(word, stop)
     to = np.flatnonzero(stop)
     of = np.r_[0, to[:-1] + 1]
     # polynomial over the words of a sentence, by the same cumulative sums as for bytes

@@ -84,3 +84,31 @@ def test_nulls(make):
     rows = [*rows_of([text, None]), (None, text, *([None] * 8))]
     out = {r.doc_id: r for r in S.substring_dedup(make(rows)).collect()}
     assert (out[0].n_removed, out[1].text, out[None].n_removed) == (0, "", 40)
+
+
+def test_every_passage_of_50_words_is_found(make):
+    """Words without marks, in the middle of a sentence of either host."""
+    from .conftest import rows_of
+
+    rng = random.Random(51)
+    words = lambda n: " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(n))
+    passages = [words(rng.randint(50, 60)) for _ in range(300)]
+    first = [f"{words(rng.randint(0, 40))} {p} {words(rng.randint(0, 40))}" for p in passages]
+    again = [f"{words(rng.randint(0, 40))} {p} {words(rng.randint(0, 40))}" for p in passages]
+    docs = make(rows_of(first + again))
+    out = {r.doc_id: r for r in S.substring_dedup(docs).collect()}
+    assert [d for d in range(300) if out[d].n_removed] == []
+    assert [d for d in range(300, 600) if not out[d].n_removed] == []
+    for d, p in enumerate(passages, 300):
+        gone = len(again[d - 300].split()) - len(out[d].text.split())
+        assert S.MIN_WORDS <= gone <= len(p.split())
+    compare(docs)
+
+
+def test_sentences_are_short_and_end_at_marks():
+    rng = random.Random(3)
+    text = " ".join(rng.choice(["la", "le", "lu"]) for _ in range(400)) + " " + " ".join(str(rng.random()) for _ in range(400))
+    assert S._pieces([text])[2].max() <= S.CUT
+    for mark in ".!?…。！？؟।":
+        _, _, count, begin, _ = S._pieces([f"drei é Wörter{mark} und zwei"])
+        assert count.tolist() == [3, 2] and begin[1] == len(f"drei é Wörter{mark} ")
