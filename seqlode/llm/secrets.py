@@ -23,9 +23,19 @@ BASE = {
     "access": r"AKIA[A-Z0-9]{16,}+",
     "hex": r"(?<![0-9a-f])[0-9a-f]{24,}+",
 }
+#: What may stand between the lines of a key: white space (also as escapes), quotes, comment and list marks.
+_GAP = r"""(?:\\[nrt]|\+(?=\s)|[\s"'`,;>#*|\\])*+"""
+_END = r"-----END [A-Z ]{0,24}PRIVATE KEY-----"
+#: A key with its header: lines of base64, with the END line if it follows, or else whatever stands before the END
+#: line. A header without either is no key.
+PEM = (
+    r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----"
+    + rf"(?:{_GAP}[A-Za-z][A-Za-z0-9-]{{1,40}}+: [^\r\n\\]{{0,200}}+){{0,8}}+"
+    + rf"(?:(?:{_GAP}[A-Za-z0-9+/]{{16,}}+={{0,2}}+){{1,1000}}+(?:{_GAP}[A-Za-z0-9+/]{{0,15}}+={{0,2}}+{_GAP}{_END}|{_GAP}[A-Za-z0-9+/]{{1,15}}+={{1,2}}+)?+|[^-]{{1,16384}}+{_END})"
+)
 #: Patterns beyond the base ones: key blocks, signed tokens, provider prefixes, long mixed strings.
 MORE = {
-    "pem": (r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----", F.contains, "-----BEGIN "),
+    "pem": (PEM, F.contains, "-----BEGIN "),
     "jwt": (r"eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", F.contains, "eyJ"),
     "prefixed": (r"(?<![A-Za-z0-9])(?:gh[pousr]_[A-Za-z0-9]{36,}+|sk-[A-Za-z0-9_-]{20,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|AIza[0-9A-Za-z_-]{35}+)", F.rlike, r"gh[pousr]_|sk-|xox|AIza"),
 }
@@ -34,9 +44,18 @@ WIDE_OWNERS = 3
 SALTS = 60
 
 
+def _secret(kind: str, value: Column) -> Column:
+    """What is hashed: the value of an assignment, the body of a key without what lies between its lines."""
+    if kind == "assign":
+        return F.regexp_extract(value, ASSIGN, 2)
+    if kind == "pem":
+        return F.regexp_replace(F.regexp_replace(value, r"-----[A-Z ]+-----", ""), r"\\[nrt]|\+(?=\s)|[^A-Za-z0-9+/=]", "")
+    return value
+
+
 def _describer(kind: str, base: bool):
     def describe(x: Column) -> Column:
-        secret = F.regexp_extract(x["value"], ASSIGN, 2) if kind == "assign" else x["value"]
+        secret = _secret(kind, x["value"])
         return F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.lit(base).alias("base"), F.xxhash64(secret).alias("hash"), F.length(secret).alias("length"))
 
     return describe
