@@ -4,6 +4,10 @@ Lines are compared lower-cased and trimmed. Equal lines are one item; items of s
 buckets, are verified exactly, and linked items form components by distributed union-find. Of each component's
 occurrences the first one stays. Blank lines are left alone.
 
+One changed character changes as many shingles as a shingle has characters, which is much of a short line. With
+``fine``, two lines of at most FINE_CHARS characters are also linked if their sets of shingles of that many characters
+reach the threshold.
+
 Signatures: a set of fewer than SMALL + margin shingles gets classic MinHash values, one of SMALL or more gets
 one-permutation values (the least hash in each of as many bins, empty bins borrowing from others). The margin is such
 that two sets above the threshold always share one of the two kinds."""
@@ -23,8 +27,14 @@ from .common import materialize, number_batches, text_batches, text_or_empty
 
 SHINGLE = 8
 THRESHOLD = 0.8
+#: Characters of the shorter shingles and of the longest line that gets them. From 29 characters on, a line stays above
+#: the threshold when one of its characters changes; above 115, a changed run of 5 characters does with SHINGLE too.
+FINE = 3
+FINE_CHARS = 120
 RECALL = 0.998
 MAX_BANDS = 13
+#: Unrelated lines share more short shingles, so their bands are longer, and there are more of them.
+MAX_FINE_BANDS = 16
 SMALL = 160
 BATCH_CHARS = 1 << 18
 #: Bits of the filter that passes over most lines when texts of candidates are read again. False hits only cost time.
@@ -158,10 +168,12 @@ def _groups(texts: list[str]) -> Iterator[tuple[int, int]]:
 _PARTS = 1 << 16
 
 
-def occurrences(docs: DataFrame, k: int, threshold: float, bands: int, rows: int) -> DataFrame:
+def occurrences(docs: DataFrame, k: int, threshold: float, bands: int, rows: int, fine: tuple[int, int, int] | None = None) -> DataFrame:
     """Rows of two kinds from ``docs`` (``_row``, ``_id``, ``_text``). For each text one with ``_line`` -1, ``_n`` its number
     of lines and ``_list`` those that are blank; for each other line one with ``_line``, ``_h`` its hash, ``_n`` its
-    shingles and ``_list`` its band keys, null if this task has met the line before."""
+    shingles and ``_list`` its band keys, null if this task has met the line before.
+
+    With ``fine`` (characters, bands, rows) the last bit of a key is 1 if it comes from the shorter shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
@@ -188,6 +200,10 @@ def occurrences(docs: DataFrame, k: int, threshold: float, bands: int, rows: int
                             fresh[i] = True
                     new = np.flatnonzero(fresh)
                     size, at, keys = signatures(lines, which[new], k, threshold, bands, rows)
+                    if fine is not None:
+                        short = np.flatnonzero(lines.end[which[new]] - lines.start[which[new]] <= FINE_CHARS)
+                        _, own, more = signatures(lines, which[new[short]], fine[0], threshold, *fine[1:])
+                        at, keys = np.r_[at, short[own]], np.r_[keys & ~np.uint64(1), more | np.uint64(1)]
                     order = np.argsort(at, kind="stable")
                     many = np.zeros(len(which), np.int64)
                     many[new] = np.bincount(at, minlength=len(new))
@@ -274,24 +290,32 @@ def shingler(k: int):
     return shingles
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL, fine: int | None = None) -> DataFrame:
     """One row per input row: ``id_col``, ``n_lines``, ``n_dropped``, ``dropped`` (array of line numbers, from 0).
 
+    ``fine``: characters of the shingles by which short lines are compared as well.
+
     Occurrences are ordered by id, row and line number; null ids come last. A null or empty text has one line, which
     is blank. ``drop_lines`` applies the result to a text."""
     text_batches(docs.sparkSession)
+    fine = None if fine == k else fine
     bands, rows = near.choose_bands(threshold, recall, MAX_BANDS)
     text = text_or_empty(text_col).alias("_text")
     source = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), text)
-    found = materialize(occurrences(source, k, threshold, bands, rows), "lines")
+    more = None if fine is None else (fine, *near.choose_bands(threshold, recall, MAX_FINE_BANDS))
+    found = materialize(occurrences(source, k, threshold, bands, rows, more), "lines")
     each, heads = found.where("_line >= 0"), found.where("_line = -1")
     keys = each.select(F.explode("_list").alias("_key"), F.col("_h").alias("_row"), "_n")
     with number_batches(docs.sparkSession):
         shared = materialize(shared_keys(keys), "shared")
-    items = materialize(near.candidate_groups(shared), "items")
-    texts = candidate_lines(docs.select(text), _filter(items))
-    known = items.join(texts, F.col("_row") == F.col("_h")).select("_row", F.lit(1).cast("long").alias("_copies"), "_groups", "_text")
-    links = materialize(near.verify(known, shingler(k), threshold), "links")
+    links = None
+    for size in (k,) if fine is None else (k, fine):
+        own = shared if fine is None else shared.where(F.col("_key").bitwiseAND(F.lit(1)) == int(size == fine))
+        items = materialize(near.candidate_groups(own), "items")
+        texts = candidate_lines(docs.select(text), _filter(items))
+        known = items.join(texts, F.col("_row") == F.col("_h")).select("_row", F.lit(1).cast("long").alias("_copies"), "_groups", "_text")
+        found_links = materialize(near.verify(known, shingler(size), threshold), "links")
+        links = found_links if links is None else links.unionByName(found_links)
     tied = links.where("_other IS NOT NULL").select(F.col("_row").alias("_a"), F.col("_other").alias("_b"))
     labels = materialize(near.components(tied).withColumnRenamed("_row", "_l"), "labels")
     labelled = each.join(labels, F.col("_h") == F.col("_l"), "left").withColumn("_label", F.coalesce("_label", "_h"))

@@ -48,7 +48,7 @@ def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.report(line_dedup.line_dedup(table(spark, sf_dir, "documents")))
+    return line_dedup.report(line_dedup.line_dedup(table(spark, sf_dir, "documents"), fine=line_dedup.FINE))
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

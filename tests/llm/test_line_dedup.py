@@ -116,3 +116,35 @@ def test_similar_lines_share_a_key(n):
 def test_columns_pass(spark):
     docs = spark.createDataFrame([(1, "x\nx", "own")], "doc_id long, text string, dropped string")
     assert D.line_dedup(docs).select(F.col("dropped")).first().dropped == [1]
+
+
+def test_short_lines_with_an_edit(make):
+    """One substituted character or digit anywhere in lines of 30 to 80 characters."""
+    from .conftest import rows_of
+
+    rng = random.Random(30)
+    lines, edited = [], []
+    for i in range(300):
+        n = 30 + i % 51
+        line = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=n))
+        at = rng.randrange(n)
+        lines.append(line)
+        edited.append(line[:at] + ("#" if i % 2 else "Ж") + line[at + 1 :])
+    own = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=30 + i % 51)) for i in range(300)]
+    docs = make(rows_of([*lines, *edited, *own]))
+    out = {r.doc_id: r.n_dropped for r in D.line_dedup(docs, fine=D.FINE).collect()}
+    assert sum(out[i] for i in [*range(300), *range(600, 900)]) == 0
+    assert sum(out[300 + i] for i in range(300)) >= 297
+    # what is linked by the longer shingles stays linked
+    long = "".join(rng.choices("abcdefghij ", k=400))
+    docs = make(rows_of([long, long[:200] + "Ж" + long[200:], "x" * 118 + long[:1], "x" * 118 + long[:4]]))
+    kept, more = ({r.doc_id: r.dropped for r in D.line_dedup(docs, fine=f).collect()} for f in (None, D.FINE))
+    assert all(set(kept[i]) <= set(more[i]) for i in kept) and kept[1] == [0]
+
+
+def test_the_query_compares_short_lines(spark, tmp_path):
+    from seqlode.llm import registry
+
+    text = "Copyright (c) 2{}19 by the authors"
+    spark.createDataFrame([(1, text.format(0)), (2, text.format(1))], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id: r.n_dropped for r in registry.op8_line_dedup(spark, str(tmp_path)).collect()} == {1: 0, 2: 1}
