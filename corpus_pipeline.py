@@ -14,14 +14,17 @@ from seqlode.llm.registry import tokenizer_files
 
 #: A document whose best language scores less than this is in none of them.
 MIN_SCORE = 0.25
+#: One with less than this part of the familiar n-grams that are usual in its language is in none of them either.
+MIN_FAMILIAR = 0.5
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages that the labelled rows teach; texts that are null, without a letter or unlike
     all of the languages go."""
-    label, score = "_seqlode_label", "_seqlode_score"
-    out = language_id.identify(docs, language_id.train(docs), label_out=label, score_out=score)
-    return out.where((F.col(label) != language_id.UNDETERMINED) & (F.col(score) >= MIN_SCORE)).select(*docs.columns)
+    label, score, familiar = "_seqlode_label", "_seqlode_score", "_seqlode_familiar"
+    out = language_id.identify(docs, language_id.train(docs), label_out=label, score_out=score, familiar_out=familiar)
+    near = (F.col(score) >= MIN_SCORE) & (F.col(familiar) >= MIN_FAMILIAR)
+    return out.where((F.col(label) != language_id.UNDETERMINED) & near).select(*docs.columns)
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,10 +1,13 @@
 """Language identification with string kernels.
 
 The kernel of two texts counts the character n-grams (of all orders of the spectrum) that are present in both,
-divided by the root of the product of their counts of distinct n-grams. A bounded sample of labelled texts gives the
+divided by the root of the product of their counts of distinct n-grams that the landmarks know. A bounded sample of labelled texts gives the
 landmarks; the Nyström approximation spans the kernel by them, and one ridge regression per language is solved in
 that space. Only n-grams of the landmarks can add to a kernel value, so a text is scored as a row of presence flags
-over the landmarks' n-grams, batch by batch, as one matrix product."""
+over the landmarks' n-grams, batch by batch, as one matrix product.
+
+The score says which language is nearest, not whether any is near. For that, a text's share of n-grams with a letter
+that two or more landmarks hold is compared with the median share of the labelled sample of its language."""
 
 from __future__ import annotations
 
@@ -49,13 +52,29 @@ def _letters() -> np.ndarray:
     return out
 
 
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Letters, blanks and end marks of all texts, and the text each belongs to."""
+    lower = [t.lower() for t in texts]
+    code = np.frombuffer(("\0".join(lower) + "\0").encode("utf-32-le"), dtype=np.uint32)
+    return _letters()[code], np.repeat(np.arange(len(lower), dtype=np.int32), [len(t) + 1 for t in lower])
+
+
+def _lettered(texts: list[str]) -> np.ndarray:
+    """For each text, the n-grams of all orders that hold a letter and no end mark; repeated ones count each time."""
+    code, row = _codes(texts)
+    ends, letters = (np.r_[0, np.cumsum(x)] for x in (code == _END, code > _BLANK))
+    out = np.zeros(len(texts), dtype=np.int64)
+    for n in ORDERS:
+        if len(code) >= n:
+            ok = (ends[n:] == ends[:-n]) & (letters[n:] > letters[:-n])
+            out += np.bincount(row[: len(ok)][ok], minlength=len(texts))
+    return out
+
+
 def _grams(texts: list[str], inner: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each order: hashes of all n-grams of the texts, and the text each belongs to. N-grams over the end of a
     text hold the end mark; ``inner`` leaves them out, as the landmarks do, so no other text's can match."""
-    lower = [t.lower() for t in texts]
-    code = np.frombuffer(("\0".join(lower) + "\0").encode("utf-32-le"), dtype=np.uint32)
-    code = _letters()[code]
-    row = np.repeat(np.arange(len(lower), dtype=np.int32), [len(t) + 1 for t in lower])
+    code, row = _codes(texts)
     h = code.astype(np.uint64) * _MUL
     h ^= h >> np.uint64(29)
     unit = h.copy()
@@ -76,6 +95,8 @@ class Model:
     labels: list[str]
     grams: np.ndarray  # hashes of the landmarks' n-grams
     weights: np.ndarray  # n-grams by labels
+    common: np.ndarray | None = None  # whether two landmarks or more hold the n-gram, and it holds a letter
+    usual: np.ndarray | None = None  # median share of common n-grams in the sample of each label
 
     @functools.cached_property
     def index(self) -> tuple[np.ndarray, np.ndarray]:
@@ -86,16 +107,29 @@ class Model:
         column[slot], check[slot] = np.arange(len(self.grams), dtype=np.int32), rest
         return column, check
 
-    def presence(self, texts: list[str]) -> np.ndarray:
+    def _found(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Text and column of the n-grams that the landmarks hold."""
         column, check = self.index
-        out = np.zeros((len(texts), len(self.grams)), dtype=np.float32)
         for h, row in _grams(texts):
             slot, rest = _slots(h)
             col = column[slot]
             ok = (col >= 0) & (check[slot] == rest)
-            out[row[ok], col[ok]] = 1
+            yield row[ok], col[ok]
+
+    def presence(self, texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), len(self.grams)), dtype=np.float32)
+        for row, col in self._found(texts):
+            out[row, col] = 1
         return out
 
+    def known(self, texts: list[str]) -> np.ndarray:
+        """The share of common n-grams among those of a text that hold a letter; repeated ones count each time, so it
+        does not fall with a text's length."""
+        out = np.zeros(len(texts))
+        for row, col in self._found(texts):
+            out += np.bincount(row[self.common[col]], minlength=len(texts))
+        return out / np.maximum(_lettered(texts), 1)
+
     def scores(self, texts: list[str]) -> np.ndarray:
         p = self.presence(texts)
         return (p @ self.weights) / np.sqrt(np.maximum(p.sum(axis=1, keepdims=True), 1))
@@ -150,7 +184,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
     # one n-gram a slot, the most frequent one
     slot, _ = _slots(grams)
     best = np.lexsort((-count, slot))
-    grams = grams[np.sort(best[np.r_[True, np.diff(slot[best]) > 0]])]
+    best = np.sort(best[np.r_[True, np.diff(slot[best]) > 0]])
+    grams, count = grams[best], count[best]
     model = Model(labels, grams, np.zeros((len(grams), len(labels)), np.float32))
     landmark = np.concatenate([model.presence([t]) for t in marks])
     landmark /= np.sqrt(np.maximum(landmark.sum(axis=1, keepdims=True), 1))
@@ -165,6 +200,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label
         left, right = left + k.T @ k, right + k.T @ y
     alpha = np.linalg.solve(left + ridge * len(rows) * (among + 1e-3 * np.eye(len(marks))), right)
     model.weights = (landmark.T @ alpha).astype(np.float32)
+    # what a text alone holds does not make it known, be it a landmark or not
+    blank = np.concatenate([np.unique(h) for h, _ in _grams([" " * max(ORDERS)], inner=True)])
+    model.common = (count > 1) & ~np.isin(grams, blank)
+    share = np.concatenate([model.known([r[2] for r in rows[i : i + BATCH_TEXTS]]) for i in range(0, len(rows), BATCH_TEXTS)])
+    model.usual = np.array([np.median(share[[r[0] == x for r in rows]]) for x in labels])
     return model
 
 
@@ -195,21 +235,36 @@ def predict_texts(model: Model, texts: list[str | None]) -> tuple[list[str], lis
     return labels, scores
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text", label_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
+def familiarity(model: Model, texts: list[str | None], labels: list[str]) -> list[float]:
+    """A text's share of common n-grams, divided by what is usual for its label; 0 for ``und``, 1 where nothing is
+    usual."""
+    texts, out = [t or "" for t in texts], []
+    usual = dict(zip(model.labels, model.usual if model.usual is not None else (), strict=False))
+    for a, b in _batches(texts):
+        for share, label in zip(model.known(texts[a:b]) if usual else [0.0] * (b - a), labels[a:b], strict=True):
+            out.append(0.0 if label not in usual else float(share / usual[label]) if usual[label] else 1.0)
+    return out
+
+
+def identify(docs: DataFrame, model: Model, text_col: str = "text", label_out: str = "lang_pred", score_out: str = "score", familiar_out: str | None = None) -> DataFrame:
     """Add ``label_out`` and ``score_out`` (0 to 1), from the whole text alone. Other columns pass through; columns of
-    these names are replaced. A null text, or one without a letter, gives ``und`` and 0."""
+    these names are replaced. A null text, or one without a letter, gives ``und`` and 0. ``familiar_out`` adds how
+    familiar a text is (see ``familiarity``): about 1 in a language of the model, near 0 in another script."""
     text_batches(docs.sparkSession)
-    rest = [f for f in docs.schema.fields if f.name not in (label_out, score_out)]
+    extra = [] if familiar_out is None else [familiar_out]
+    rest = [f for f in docs.schema.fields if f.name not in (label_out, score_out, *extra)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            labels, scores = predict_texts(model, batch.column(batch.schema.get_field_index(text_col)).to_pylist())
+            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+            labels, scores = predict_texts(model, texts)
+            more = [pa.array(familiarity(model, texts, labels), pa.float64()) for _ in extra]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(labels, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names, label_out, score_out]
+                [*batch.columns, pa.array(labels, pa.string()), pa.array(scores, pa.float64()), *more], names=[*batch.schema.names, label_out, score_out, *extra]
             )
 
     kept = docs.select(*(f"`{f.name}`" for f in rest))
-    return kept.mapInArrow(run, T.StructType([*rest, T.StructField(label_out, T.StringType()), T.StructField(score_out, T.DoubleType())]))
+    return kept.mapInArrow(run, T.StructType([*rest, T.StructField(label_out, T.StringType()), *(T.StructField(x, T.DoubleType()) for x in (score_out, *extra))]))
 
 
 def held_out(id_col: str = "doc_id", folds: int = 4, fold: int = 2) -> Column:

@@ -60,3 +60,17 @@ def test_registered():
     assert set(registry.QUERIES) | {"pipeline"} <= set(E.queries())
     assert {n.split("_")[0] for n in registry.QUERIES} == {f"op{i}" for i in range(1, 11)}
     assert set(E.oracle_sql()) <= set(E.queries())
+
+
+def test_texts_in_no_known_language_go(spark):
+    """Other scripts and random letters go, labelled or not; every text of the table stays."""
+    import random
+
+    rng = random.Random(16)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    gibberish = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(2, 9))) for _ in range(n)) for n in (20, 60, 300)]
+    foreign = ["Привет, это простой русский текст о погоде и жизни.", "これは日本語の文章です。今日は天気がいいですね。", "Ελληνικό κείμενο με πολλές λέξεις για δοκιμή."]
+    texts = [*gibberish, *foreign]
+    alien = spark.createDataFrame([(10**9 + i, t, "en" if i % 2 else None) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    stay = {r.doc_id for r in P.identified(spark, docs.unionByName(alien, allowMissingColumns=True), None).select("doc_id").collect()}
+    assert stay == {r.doc_id for r in docs.collect() if any(map(str.isalpha, r.text or ""))}
