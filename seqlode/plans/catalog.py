@@ -21,6 +21,8 @@ ORACLES: dict[str, str] = {}
 
 #: Candidates of the registered systems; fewer than the documents, so the choice of candidates matters.
 FEW = 20
+#: Candidates of the flagship, the reference's default.
+CANDIDATES = 200
 #: Merges of the registered encoding queries, on event codes 0 to 4.
 MERGES = [(0, 1, 5), (2, 2, 6), (5, 3, 7), (1, 4, 8)]
 
@@ -306,7 +308,7 @@ def paired_cosine_rank(spark, d):
 def paired_rerank_documents(spark, d):
     """The flagship over words: PMI-weighted candidates of every benchmark item, re-ranked by alignment."""
     docs, items = C.documents(spark, d), C.benchmark(spark, d)
-    return ranking(docs, items, System("paired", tau=0.5, candidates=FEW), full=False).select("query_idx", "doc_idx", _r("sim"), _r("sw"), "rank")
+    return ranking(docs, items, System("paired", tau=0.5, candidates=CANDIDATES), full=False).select("query_idx", "doc_idx", _r("sim"), _r("sw"), "rank")
 
 
 @query(f"WITH {S.unigram()}, {S.EVERY}, {S.BY_SIM} SELECT query_idx, doc_idx, rank - 10 AS tail_rank FROM by_sim WHERE rank > 10")

@@ -58,3 +58,8 @@ def test_optional_part_may_be_missing(monkeypatch):
     monkeypatch.setattr(builtins, "__import__", gone)
     assert set(entry.queries()) == set(QUERIES)
     assert set(entry.oracle_sql()) == set(ORACLES)
+
+
+def test_flagship_aligns_as_many_candidates_as_the_reference(spark):
+    found = [r["count"] for r in QUERIES["paired_rerank_documents"](spark, SMALL).groupBy("query_idx").count().collect()]
+    assert found == [min(200, spark.read.parquet(f"{SMALL}/documents.parquet").count())] * len(found)
