@@ -4,8 +4,11 @@ Sentences end at sentence marks and line feeds; longer ones are cut further wher
 word of the least hash among the last CUT ones changes), so a passage is cut alike wherever it stands, from its word
 CUT on, and no sentence has more than CUT words. From every sentence a span runs over at least SENTENCES sentences and
 MIN_WORDS words. The first cut of a shared run is at most 2 CUT words from its start and a span ends less than CUT
-words after its MIN_WORDS-th, so a run of 3 CUT + MIN_WORDS - 1 = 50 words holds a whole span. Span hashes are joined over the whole table; sentences
-covered by a span that also occurs earlier (smaller id, then earlier place) are removed."""
+words after its MIN_WORDS-th, so a run of 3 CUT + MIN_WORDS - 1 = 50 words holds a whole span. Span hashes (96 bits)
+are joined over the whole table; sentences covered by a span that also occurs earlier (smaller id, then earlier row,
+then earlier place) are removed.
+
+Rows are told apart by a number of their own, given in a written table, so rows that share an id share nothing else."""
 
 from __future__ import annotations
 
@@ -16,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import hashing
-from .common import materialize, text_batches, text_or_empty
+from . import hashing, near
+from .common import materialize, release, text_batches, text_or_empty
 
 #: A span has at least this many sentences and words.
 SENTENCES = 3
@@ -26,7 +29,10 @@ MIN_WORDS = 24
 CUT = 9
 #: Texts are cut and hashed in batches of about this many characters.
 BATCH_CHARS = 1 << 18
+#: Bits of the filter that passes over spans which stand once. False hits only cost time.
+FILTER_BITS = 26
 
+_SECOND = np.uint64(0x5851F42D4C957F2D)
 _MARKS = np.zeros(256, dtype=bool)
 _MARKS[[ord(c) for c in ".!?"]] = True
 #: Further marks by their bytes in UTF-8, as one number.
@@ -106,7 +112,7 @@ def _lower(t: str) -> str:
 
 
 def _spans(h: np.ndarray, row: np.ndarray, count: np.ndarray, sentences: int, min_words: int):
-    """Hash of the span from each sentence, and the sentence after its last one; only spans that fit into the text."""
+    """First sentence of each span, the sentence after its last one, and two hashes; only spans that fit into the text."""
     n = len(h)
     total = np.r_[0, np.cumsum(count)]
     i = np.arange(n)
@@ -114,10 +120,13 @@ def _spans(h: np.ndarray, row: np.ndarray, count: np.ndarray, sentences: int, mi
     j = np.maximum(np.searchsorted(total, total[:-1] + min_words, side="left"), i + sentences)
     ok = (j <= n) & (row[np.minimum(j, n) - 1] == row) if n else np.zeros(0, bool)
     up, down = hashing._power(n + 1)
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(h * up[:n], out=sums[1:])
     i, j = i[ok], j[ok]
-    return i, j, hashing.mix((sums[j] - sums[i]) * down[i] + (j - i).astype(np.uint64))
+    both = []
+    for unit in (h, hashing.mix(h ^ _SECOND)):
+        sums = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum(unit * up[:n], out=sums[1:])
+        both.append(hashing.mix((sums[j] - sums[i]) * down[i] + (j - i).astype(np.uint64)))
+    return i, j, *both
 
 
 def _groups(texts: list[str]) -> Iterator[tuple[int, int]]:
@@ -131,76 +140,79 @@ def _groups(texts: list[str]) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
-def spans(docs: DataFrame, id_col: str, text_col: str, sentences: int = SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
-    """``_id``, ``_span`` (hash), ``_i`` and ``_j`` (first sentence, sentence after the last)."""
+def spans(rows: DataFrame, sentences: int = SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
+    """The spans of ``rows`` (``_row``, ``_id``, ``_text``): ``_row``, ``_id``, ``_span`` and ``_more`` (64 and 32 bits of
+    hashes), ``_i`` (first sentence; the last one follows from the text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("_text")).to_pylist()
+            texts = batch.column(2).to_pylist()
             for a, b in _groups(texts):
                 h, row, count, _, _ = _pieces(texts[a:b])
-                i, j, s = _spans(h, row, count, sentences, min_words)
+                i, _, s, more = _spans(h, row, count, sentences, min_words)
                 at = row[i]
                 first = np.searchsorted(row, at)
                 take = pa.array(at + a)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), pa.array(hashing.as_signed(s)), pa.array((i - first).astype(np.int32)), pa.array((j - first).astype(np.int32))],
-                    names=["_id", "_span", "_i", "_j"],
+                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(hashing.as_signed(s)), pa.array((more >> np.uint64(32)).astype(np.uint32).view(np.int32)), pa.array((i - first).astype(np.int32))],
+                    names=["_row", "_id", "_span", "_more", "_i"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("_id"), text_or_empty(text_col).alias("_text")).mapInArrow(run, "_id long, _span long, _i int, _j int")
+    kind = rows.schema["_id"].dataType.simpleString()
+    return rows.select("_row", "_id", "_text").mapInArrow(run, f"_row long, _id {kind}, _span long, _more int, _i int")
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: int = SENTENCES, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per input row: ``id_col``, ``n_sentences``, ``n_removed``, ``removed`` (places start:end of what goes, in
-    code points), ``text`` (what stays).
+    """One row per input row: ``id_col`` (of any type that can be ordered), ``n_sentences``, ``n_removed``, ``removed``
+    (places start:end of what goes, in code points), ``text`` (what stays).
 
-    A null text counts as empty. Rows that share an id share their removals' order: the places of one id count as
-    earlier or later by sentence number. A null id counts as the largest."""
+    A null text counts as empty. Of a span's occurrences the first one stays: that of the smallest id (null ids come
+    last), of equal ids that of the row which the table gave first, then the first in the text. So of two equal rows
+    one stays whole, whether their ids are equal, different or null. Other columns are ignored."""
     text_batches(docs.sparkSession)
-    found = materialize(spans(docs, id_col, text_col, sentences, min_words), "spans")
-    place = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("d"), F.col("_i").alias("i"))
-    many = found.groupBy("_span").agg(F.count(F.lit(1)).alias("_n"), F.min(place).alias("_first")).where("_n > 1").select("_span", "_first")
-    many = materialize(many, "repeated")
-    again = found.join(many, "_span").where(~place.eqNullSafe(F.col("_first")))
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text")), "rows")
+    found = materialize(spans(rows, sentences, min_words), "spans")
+    place = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("d"), F.col("_row").alias("r"), F.col("_i").alias("i"))
+    many = found.groupBy("_span", "_more").agg(F.count(F.lit(1)).alias("_n"), F.min(place).alias("_first")).where("_n > 1")
+    many = materialize(many.select("_span", "_more", F.col("_first.r").alias("_r"), F.col("_first.i").alias("_f")), "repeated")
+    # spans that stand once are passed over before they are dealt to the join
+    again = near.sift(found.select("_span", "_more", "_row", "_i"), "_span", near.bitmap(many, "_span", FILTER_BITS))
+    again = again.join(many, ["_span", "_more"]).where((F.col("_row") != F.col("_r")) | (F.col("_i") != F.col("_f")))
     # the sentences of one document; spans of a document are no more than its sentences
-    covered = again.groupBy("_id").agg(F.collect_set(F.struct("_i", "_j")).alias("_spans"))
-
-    rows = docs.select(F.col(id_col).alias("_id"), text_or_empty(text_col).alias("_text"))
-    rows = rows.join(covered.withColumnRenamed("_id", "_c"), F.col("_id").cast("long").eqNullSafe(F.col("_c")), "left").select("_id", "_text", "_spans")
+    covered = materialize(again.groupBy(F.col("_row").alias("_c")).agg(F.collect_set("_i").alias("_spans")), "covered")
+    release(found, many)
+    joined = rows.join(covered, F.col("_row") == F.col("_c"), "left").select("_id", "_text", "_spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in _groups(texts):
                 part = texts[a:b]
-                _, row, _, begin, finish = _pieces(part)
+                h, row, count, begin, finish = _pieces(part)
+                i, j, _, _ = _spans(h, row, count, sentences, min_words)
                 n = np.bincount(row, minlength=b - a)
                 first = np.searchsorted(row, np.arange(b - a))
-                removed, places, kept = [], [], []
-                for k, own in enumerate(batch.column(2).slice(a, b - a).to_pylist()):
-                    gone = np.zeros(n[k] + 1, dtype=np.int32)
-                    for s in own or ():
-                        if s["_j"] <= n[k]:
-                            gone[s["_i"]] += 1
-                            gone[s["_j"]] -= 1
-                    gone = np.cumsum(gone)[:-1] > 0
-                    removed.append(int(gone.sum()))
+                ends = np.zeros(len(h) + 1, dtype=np.int64)
+                ends[i] = j
+                lists = batch.column(2).slice(a, b - a)
+                own = np.repeat(first, lists.value_lengths().fill_null(0).to_numpy()) + lists.flatten().to_numpy()
+                gone = np.bincount(own, minlength=len(h) + 1) - np.bincount(ends[own], minlength=len(h) + 1)
+                gone = np.cumsum(gone)[:-1] > 0
+                removed = np.bincount(row[gone], minlength=b - a)
+                places, kept = [""] * (b - a), list(part)
+                for k in np.flatnonzero(removed):
                     cuts, out, at = [], [], 0
-                    if removed[-1]:
-                        edge = np.flatnonzero(np.diff(np.r_[0, gone.astype(np.int8), 0]))
-                        for x, y in zip(edge[::2], edge[1::2], strict=True):
-                            p, q = int(begin[first[k] + x]), int(finish[first[k] + y - 1])
-                            cuts.append(f"{p}:{q}")
-                            out.append(part[k][at:p])
-                            at = q
-                    out.append(part[k][at:])
-                    places.append(",".join(cuts))
-                    kept.append("".join(out))
+                    edge = first[k] + np.flatnonzero(np.diff(np.r_[0, gone[first[k] : first[k] + n[k]].astype(np.int8), 0]))
+                    for x, y in zip(edge[::2], edge[1::2], strict=True):
+                        p, q = int(begin[x]), int(finish[y - 1])
+                        cuts.append(f"{p}:{q}")
+                        out.append(part[k][at:p])
+                        at = q
+                    places[k], kept[k] = ",".join(cuts), "".join([*out, part[k][at:]])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(places, pa.string()), pa.array(kept, pa.string())],
                     names=[id_col, "n_sentences", "n_removed", "removed", "text"],
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, n_sentences long, n_removed long, removed string, text string")
+    return joined.mapInArrow(run, f"`{id_col}` {kind}, n_sentences long, n_removed long, removed string, text string")

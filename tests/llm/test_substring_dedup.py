@@ -1,33 +1,64 @@
 import random
+import re
 
+import numpy as np
+
+from seqlode.llm import hashing
 from seqlode.llm import substring_dedup as S
 
+MARKS = ".!?\u037e؟۔…‼⁇⁈⁉。｡！？．।॥።။።"
+
+
+def sentences(text):
+    """Sentences by their definition, word by word: (start, end, words in lower case). Of the operator only the hash of
+    a word is used."""
+    words = [(m.start(), m.end(), S._lower(m.group())) for m in re.finditer(r"[^\x00\x09-\x0d\x1c-\x20]+", text)]
+    raw = [w.encode() for _, _, w in words]
+    edges = np.cumsum([0, *(len(r) for r in raw)])
+    order = hashing.segments(np.frombuffer(b"".join(raw), np.uint8), edges[:-1], edges[1:]).tolist() if words else []
+    out, since, opened = [], 0, 0
+
+    def least(last):  # place of the least hash among the CUT words up to `last`, of equal ones the last place
+        return min(range(last - S.CUT + 1, last + 1), key=lambda i: (order[i], -i))
+
+    for i, (_, end, word) in enumerate(words):
+        since += 1
+        marked = i + 1 == len(words) or word[-1] in MARKS or "\n" in text[end : words[i + 1][0]]
+        if marked or since == S.CUT or (since > S.CUT and least(i) != least(i - 1)):
+            stop = words[i + 1][0] if i + 1 < len(words) else len(text)
+            out.append((words[opened][0], stop, [w for _, _, w in words[opened : i + 1]]))
+            opened = i + 1
+        if marked:
+            since = 0
+    return out
+
 
 def brute(rows):
+    """Texts in the order in which occurrences count."""
     seen, out = set(), []
-    for _, text in rows:
-        _, _, count, begin, end = S._pieces([text or ""])
-        parts = [(text or "")[a:b] for a, b in zip(begin, end)]
-        gone = set()
+    for text in rows:
+        text = text or ""
+        parts, gone, own = sentences(text), set(), []
         for i in range(len(parts)):
-            j, words = i, 0
-            while j < len(parts) and (words < S.MIN_WORDS or j - i < S.SENTENCES):
-                words += count[j]
+            j, key = i, []
+            while j < len(parts) and (len(key) < S.MIN_WORDS or j - i < S.SENTENCES):
+                key.append(parts[j][2])
+                key = [w for x in key for w in (x if isinstance(x, list) else [x])]
                 j += 1
-            if words >= S.MIN_WORDS and j - i >= S.SENTENCES:
-                key = tuple(tuple(p.lower().split()) for p in parts[i:j])
+            if len(key) >= S.MIN_WORDS and j - i >= S.SENTENCES:
+                key = tuple(tuple(p[2]) for p in parts[i:j])
                 if key in seen:
                     gone |= set(range(i, j))
                 seen.add(key)
-        lead = (text or "")[: begin[0]] if len(begin) else (text or "")
-        out.append((len(parts), len(gone), lead + "".join(p for i, p in enumerate(parts) if i not in gone)))
+        lead = text[: parts[0][0]] if parts else text
+        out.append((len(parts), len(gone), lead + "".join(text[a:b] for i, (a, b, _) in enumerate(parts) if i not in gone)))
     return out
 
 
 def compare(docs):
     rows = sorted(((r.doc_id, r.text) for r in docs.collect()), key=lambda r: r[0])
     got = {r.doc_id: (r.n_sentences, r.n_removed, r.text) for r in S.substring_dedup(docs).collect()}
-    assert got == {d: x for (d, _), x in zip(rows, brute(rows), strict=True)}
+    assert got == {d: x for (d, _), x in zip(rows, brute([t for _, t in rows]), strict=True)}
 
 
 def test_small(spark):
@@ -70,11 +101,27 @@ def test_places_match_the_text(make):
 
 
 def test_messy(messy, empty):
-    out = S.substring_dedup(messy).collect()
-    assert len(out) == messy.count()
+    """Rows of one id, and null ids, each count by themselves; which of them is first does not change the results as a
+    whole."""
+    rows = [(r.doc_id is None, r.doc_id or 0, r.text) for r in messy.collect()]
+    want = sorted(brute([t for *_, t in sorted(rows, key=lambda r: r[:2])]))
+    assert sorted((r.n_sentences, r.n_removed, r.text) for r in S.substring_dedup(messy).collect()) == want
     assert S.substring_dedup(empty).collect() == []
-    by = {r.doc_id: r for r in out if r.doc_id in (5, 9)}
-    assert by[9].n_removed > 0
+
+
+def test_rows_of_one_id(spark):
+    """What stands once stays, and of equal rows one stays whole: with equal, repeated, textual and null ids."""
+    rng = random.Random(5)
+    text = lambda: " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 8))) + rng.choice(["", ".", ""]) for _ in range(200))
+    a, b = text(), text()
+    for kind, ids in (("long", [1, 5, 5, 5]), ("string", ["a", "b", "b", "b"]), ("long", [None] * 4), ("string", [None] * 4)):
+        for parts in (1, 3):
+            docs = spark.createDataFrame(list(zip(ids, [a, a, b, a])), f"doc_id {kind}, text string").repartition(parts)
+            out = S.substring_dedup(docs).collect()
+            assert sorted((r.n_removed > 0, r.text) for r in out) == sorted([(False, a), (False, b), (True, ""), (True, "")])
+            assert sorted(map(str, (r.doc_id for r in out))) == sorted(map(str, ids))
+            if ids[0] is not None:
+                assert [r.doc_id for r in out if r.text == a] == [ids[0]]
 
 
 def test_nulls(make):
