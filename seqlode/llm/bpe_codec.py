@@ -19,6 +19,14 @@ LONG_TEXT = 1 << 16
 #: Output batches hold about this many characters of input.
 BATCH_CHARS = 1 << 20
 
+#: Runs of white space from this length on are encoded apart from what stands around them.
+LONG_RUN = 1 << 12
+_WHITE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_LONG_RUN = re.compile(f"{_WHITE}{{{LONG_RUN},}}")
+#: How a pattern must treat white space for that: a run but for its last character is one piece, at the end of the text
+#: the whole run is. The library's matcher gives up on runs of about a million characters under this rule.
+_WHITE_RULE = r"|\s+(?!\S)|\s+"
+
 #: A word character followed by a blank: no match of the pre-split pattern reaches across that point, and what
 #: follows it is matched as it would be after the whole prefix, since only white space looks ahead.
 _SAFE = re.compile(r"\w(?=[ \n])")
@@ -27,7 +35,8 @@ _SAFE = re.compile(r"\w(?=[ \n])")
 def safe_chunks(text: str, size: int = LONG_TEXT) -> Iterator[str]:
     """Cut ``text`` at safe boundaries, each chunk at least ``size`` characters long but the last.
 
-    A stretch without a safe boundary stays whole."""
+    A stretch without a safe boundary stays whole; the library matches it in one pass, however long, if it holds no
+    long run of white space (see ``encode_text``)."""
     start = 0
     while len(text) - start > size:
         m = _SAFE.search(text, start + size - 1)
@@ -48,11 +57,25 @@ def encoding(ranks_path: str, pattern: str):
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+def _runs_apart(pattern: str) -> bool:
+    """Whether a pattern has the rule for white space, and no other part that takes more than one blank."""
+    return pattern.endswith(_WHITE_RULE) and r"\s" not in pattern.removesuffix(_WHITE_RULE).replace(r"[^\s", "[^")
+
+
 def encode_text(enc, text: str) -> list[int]:
+    """The ids of a text as the library gives them for the whole text. Long texts are encoded piece by piece: long runs
+    of white space as the one piece that they are, what stands between them in safe chunks."""
     if len(text) <= LONG_TEXT:
         return enc.encode_ordinary(text)
     ids: list[int] = []
-    for chunk in safe_chunks(text):
+    at = 0
+    for m in _LONG_RUN.finditer(text) if _runs_apart(enc._pat_str) else ():
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        for chunk in safe_chunks(text[at : m.start()]):
+            ids += enc.encode_ordinary(chunk)
+        ids += enc._encode_single_piece(text[m.start() : end])
+        at = end
+    for chunk in safe_chunks(text[at:]):
         ids += enc.encode_ordinary(chunk)
     return ids
 
