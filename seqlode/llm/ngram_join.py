@@ -78,13 +78,14 @@ def ngram_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links), ``class_size``, ``n_links`` (other rows with this similarity or more, copies included), ``n_text_links``
     (other n-gram sets among them), ``kept`` (one row of each class), ``text_hash`` (xxhash64 of the text).
 
-    A null text counts as empty; texts without words form one class. Null ids come after all others. ``recall`` is
+    A null text counts as empty; texts without words form one class. Null ids come after all others; of rows with one
+    id the one with the least hash of the text stays. ``recall`` is
     the probability with which a pair right at the threshold becomes a candidate; a more similar pair's is higher."""
     text_batches(docs.sparkSession)
     bands, rows = near.choose_bands(threshold, recall)
     source = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_or_empty(text_col)).alias("_hash"), text_or_empty(text_col).alias("_text"))
     sig = materialize(signatures(source, n, bands, rows).withColumn("_row", F.monotonically_increasing_id()), "signatures")
-    by_id = (F.col("_id").isNull().alias("null"), F.col("_id").alias("id"), F.col("_row").alias("row"))
+    by_id = (F.col("_id").isNull().alias("null"), F.col("_id").alias("id"), F.col("_hash").alias("hash"), F.col("_row").alias("row"))
     sets = materialize(sig.groupBy("_d", "_e", "_n").agg(near.first_of(*by_id).alias("_first"), F.count(F.lit(1)).alias("_copies")).withColumn("_row", F.col("_first.row")), "sets")
     reps = sig.where("_n > 0").join(sets.select("_row", "_copies"), "_row")
     keys = materialize(reps.select("_row", "_n", F.explode("_bands").alias("_key")), "keys")

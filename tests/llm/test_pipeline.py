@@ -74,3 +74,18 @@ def test_texts_in_no_known_language_go(spark):
     alien = spark.createDataFrame([(10**9 + i, t, "en" if i % 2 else None) for i, t in enumerate(texts)], "doc_id long, text string, lang string")
     stay = {r.doc_id for r in P.identified(spark, docs.unionByName(alien, allowMissingColumns=True), None).select("doc_id").collect()}
     assert stay == {r.doc_id for r in docs.collect() if any(map(str.isalpha, r.text or ""))}
+
+
+def test_same_rows_however_partitioned(spark, make):
+    """Rows of one id whose texts differ in case, language or source: the stages keep the same ones at any number of
+    partitions."""
+    text = " ".join(f"word{i % 50} and {i}" for i in range(80))
+    rows = [(i % 3, t, lang, source, n, "own", "own", "own", "own", "own") for i in range(6) for t in (text, text.upper()) for lang, source, n in (("en", "a", 1), ("de", "b", 2), (None, None, None))]
+    for stage in (P.deduplicated, P.dissimilar):
+        kept = {tuple(stage(spark, make(rows).repartition(n), None).collect()) for n in (1, 2, 3, 5, 8)}
+        assert len(kept) == 1 and len(kept.pop()) == 1
+
+
+def test_long_white_space(spark, make):
+    docs = make([(1, "a" + " " * 1_200_000 + "b", "en", "a", 3, "", "", "", "", "")])
+    assert P.encoded(spark, docs, None).count() == 1
