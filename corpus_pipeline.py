@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seqlode.llm import bpe_codec, exact_dedup, language_id, mixing, ngram_join
-from seqlode.llm.common import keep_rows, materialize, table, text_or_empty
+from seqlode.llm.common import keep_rows, materialize, release, scratch, table, text_or_empty
 from seqlode.llm.registry import tokenizer_files
 
 #: A document whose best language scores less than this is in none of them.
@@ -28,14 +28,16 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal but for the case of A-Z, the one with the largest id stays."""
+    """Of texts that are equal but for the case of A-Z, the one with the largest id stays, of rows with that id the
+    first by a hash of all columns."""
     kept = exact_dedup.exact_dedup(docs).where("kept").select("doc_id", "digest")
     digest = exact_dedup.sha256_digest(exact_dedup.fold_ascii(text_or_empty("text")))
     return keep_rows(docs, kept, {"doc_id": F.col("doc_id"), "digest": digest})
 
 
 def dissimilar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates stays, the one with the least id."""
+    """One document of each class of near-duplicates stays, the one with the least id; of rows with that id the one with
+    the least hash of its text."""
     kept = ngram_join.ngram_join(docs).where("kept").select("doc_id", "text_hash")
     return keep_rows(docs, kept, {"doc_id": F.col("doc_id"), "text_hash": F.xxhash64(text_or_empty("text"))})
 
@@ -67,7 +69,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. A stage's own tables, and what it has read, are deleted once its result is written."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        read = docs
+        with scratch() as keep:
+            docs = keep(materialize(stage(spark, read, sf_dir), name))
+        release(read)
     return STAGES[-1][1](spark, docs, sf_dir)
