@@ -7,7 +7,8 @@ column expression."""
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -24,10 +25,10 @@ class Node:
     def score(self, row: dict) -> float:
         return self.value if self.low is None else (self.low if row[self.feature] <= self.cut else self.high).score(row)
 
-    def column(self, get) -> Column:
+    def sql(self, name: Callable[[str], str]) -> str:
         if self.low is None:
-            return F.lit(self.value)
-        return F.when(get(self.feature) <= self.cut, self.low.column(get)).otherwise(self.high.column(get))
+            return f"{self.value!r}D"
+        return f"CASE WHEN {name(self.feature)} <= {self.cut} THEN {self.low.sql(name)} ELSE {self.high.sql(name)} END"
 
 
 @dataclass
@@ -36,17 +37,21 @@ class Boosted:
 
     base: float
     trees: list[Node]
-    threshold: float = 0.5
+    threshold: float = 1.01
+    #: What ``calibrate`` has found on held-out cells.
+    shown: dict = field(default_factory=dict)
 
     def score(self, row: dict) -> float:
         return 1 / (1 + math.exp(-self.base - sum(t.score(row) for t in self.trees)))
 
-    def column(self, get) -> Column:
-        """The score as a column; ``get`` gives the column of a feature."""
-        total = F.lit(self.base)
-        for t in self.trees:
-            total = total + t.column(get)
-        return 1 / (1 + F.exp(-total))
+    def sql(self, name: Callable[[str], str]) -> str:
+        """The score as SQL; ``name`` gives the text for a feature. (Built as text, as a model has thousands of nodes.)"""
+        total = " + ".join([f"{self.base!r}D", *(t.sql(name) for t in self.trees)])
+        return f"(1 / (1 + exp(-({total}))))"
+
+    def column(self) -> Column:
+        """The score from columns that are named like the features."""
+        return F.expr(self.sql(lambda f: f"`{f}`"))
 
 
 def fit(cells: list[dict], features: list[str], trees: int = 30, depth: int = 3, rate: float = 0.3, smooth: float = 1.0) -> Boosted:
@@ -91,14 +96,17 @@ def _grow(cells, at, features, g, h, depth, rate, smooth) -> Node:
 
 
 def calibrate(model: Boosted, cells: list[dict], precision: float, least: float = 0.5) -> float:
-    """The lowest threshold, ``least`` or more, at which ``cells`` (held out from the fit) show this precision; over 1
-    if there is none."""
-    scored = sorted(((model.score(c), c["pos"], c["n"]) for c in cells), reverse=True)
-    best, pos, n, i = 1.01, 0, 0, 0
+    """Set and return the lowest threshold, ``least`` or more, at which ``cells`` (held out from the fit) show this
+    precision with one positive and one negative added, so a few cells alone show little; over 1 if there is none."""
+    scored = sorted(((model.score(c), c["pos"], c["n"]) for c in cells), key=lambda x: -x[0])
+    best, pos, n, i, at = 1.01, 0, 0, 0, (0, 0)
     while i < len(scored) and scored[i][0] >= least:
         s = scored[i][0]
         while i < len(scored) and scored[i][0] == s:
             pos, n, i = pos + scored[i][1], n + scored[i][2], i + 1
-        if pos >= precision * n:
-            best = s
+        if pos + 1 >= precision * (n + 2):
+            best, at = s, (pos, n)
+    every = sum(c["pos"] for c in cells), sum(c["n"] for c in cells)
+    model.threshold = best
+    model.shown = {"positives": every[0], "negatives": every[1] - every[0], "precision": at[0] / at[1] if at[1] else None, "recall": at[0] / every[0] if every[0] else None}
     return best

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, text_or_empty
-from .spans import add_spans, joined
+from .spans import add_all_spans, joined
 
 KINDS = ["assign", "access", "hex"]
 
@@ -69,13 +69,9 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, owner: Column, repo:
         "access": F.contains("_text", F.lit("AKIA")),
         "hex": None,
     }
-    made = []
-    for kind in KINDS:
-        df = add_spans(df, "_text", BASE[kind], kind, tests[kind])
-        made.append(F.transform(kind, _describer(kind, True)))
-    for kind, (pattern, test, needle) in MORE.items():
-        df = add_spans(df, "_text", pattern, kind, test("_text", F.lit(needle)))
-        made.append(F.transform(kind, _describer(kind, False)))
+    more = {kind: (pattern, test("_text", F.lit(needle))) for kind, (pattern, test, needle) in MORE.items()}
+    df = add_all_spans(df, "_text", {kind: (BASE[kind], tests[kind]) for kind in KINDS} | more)
+    made = [F.transform(kind, _describer(kind, kind in KINDS)) for kind in (*KINDS, *more)]
     cands = F.filter(F.concat(*made), lambda x: (x["kind"] != "assign") | (x["length"] >= 6))
     return df.select("_id", "_owner", "_repo", cands.alias("cands"))
 

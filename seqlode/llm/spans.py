@@ -16,44 +16,48 @@ CONTEXT = 32
 SPAN = "array<struct<start:int,end:int,value:string,left:string,right:string>>"
 
 
-def running_sum(a: Column) -> Column:
-    """Inclusive running sums of a non-empty array<int>."""
-    last = F.floor((F.size(a) - 1) / F.lit(BLOCK)).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(a, b * BLOCK + 1, F.lit(BLOCK)))
-    grow = lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))
-    sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda acc, x: acc + x))
-    starts = F.aggregate(sums, F.array(F.lit(0)), grow)
-    runs = F.transform(F.arrays_zip(blocks.alias("b"), F.slice(starts, F.lit(1), F.size(sums)).alias("s")), lambda z: F.slice(F.aggregate(z["b"], F.array(z["s"]), grow), F.lit(2), F.lit(BLOCK)))
-    return F.flatten(runs)
+def running_sum(a: str) -> str:
+    """Inclusive running sums of a non-empty array<int>, as SQL of a column's name. (Texts of SQL make plans of many
+    patterns quick to build.)"""
+    blocks = f"transform(sequence(0, cast(floor((size({a}) - 1) / {BLOCK}) AS int)), b -> slice({a}, b * {BLOCK} + 1, {BLOCK}))"
+    sums = f"transform({blocks}, b -> aggregate(b, 0, (t, x) -> t + x))"
+    grow = "(t, x) -> concat(t, array(element_at(t, -1) + x))"
+    starts = f"slice(aggregate({sums}, array(0), {grow}), 1, size({sums}))"
+    return f"flatten(zip_with({blocks}, {starts}, (b, s) -> slice(aggregate(b, array(s), {grow}), 2, {BLOCK})))"
 
 
 def add_spans(df: DataFrame, text_col: str, pattern: str, out: str, only_if: Column | None = None) -> DataFrame:
     """Add ``out``: the leftmost non-overlapping matches of a pattern (no empty ones), in order. The array is empty if
     there is none or ``only_if`` (a cheap test that every text with a match passes) is false."""
-    found = F.regexp_extract_all(F.col(text_col), F.lit(pattern), F.lit(0))
-    empty = F.array().cast("array<string>")
-    m, g, s, n = f"_{out}_m", f"_{out}_g", f"_{out}_s", f"_{out}_n"
-    df = df.withColumn(m, found if only_if is None else F.when(only_if, found).otherwise(empty))
-    df = df.withColumn(g, F.when(F.size(m) > 0, F.split(F.col(text_col), pattern, -1)))
-    df = df.withColumn(
-        s,
-        F.when(
-            F.size(m) > 0,
-            F.transform(F.sequence(F.lit(0), F.size(m) - 1), lambda i: F.length(F.col(g)[i]) + F.when(i > 0, F.length(F.get(F.col(m), i - 1))).otherwise(0)),
-        ),
-    )
-    df = df.withColumn(n, F.when(F.size(m) > 0, running_sum(F.col(s))))
-    spans = F.transform(
-        F.sequence(F.lit(0), F.size(m) - 1),
-        lambda i: F.struct(
-            F.col(n)[i].alias("start"),
-            (F.col(n)[i] + F.length(F.col(m)[i])).alias("end"),
-            F.col(m)[i].alias("value"),
-            F.right(F.col(g)[i], F.lit(CONTEXT)).alias("left"),
-            F.left(F.get(F.col(g), i + 1), F.lit(CONTEXT)).alias("right"),
-        ),
-    )
-    return df.withColumn(out, F.when(F.size(m) > 0, spans).otherwise(F.array().cast(SPAN))).drop(m, g, s, n)
+    return add_all_spans(df, text_col, {out: (pattern, only_if)})
+
+
+def add_all_spans(df: DataFrame, text_col: str, patterns: dict[str, tuple[str, Column | None]]) -> DataFrame:
+    """``add_spans`` for several patterns (column: pattern, test) in the same few steps, which keeps plans short."""
+    text, empty = F.col(text_col), F.array().cast("array<string>")
+    m, g, s, n = (lambda out, x=x: f"_{out}_{x}" for x in "mgsn")  # matches, gaps, steps, places
+
+    def found(pattern: str, only_if: Column | None) -> Column:
+        every = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        return every if only_if is None else F.when(only_if, every).otherwise(empty)
+
+    def some(out: str, sql: str, other: str = "NULL") -> Column:
+        return F.expr(f"CASE WHEN size({m(out)}) > 0 THEN {sql} ELSE {other} END")
+
+    def steps(out: str) -> str:
+        return f"transform(sequence(0, size({m(out)}) - 1), i -> length({g(out)}[i]) + CASE WHEN i > 0 THEN length(get({m(out)}, i - 1)) ELSE 0 END)"
+
+    def spans(out: str) -> str:
+        value, gap, at = f"{m(out)}[i]", f"{g(out)}[i]", f"{n(out)}[i]"
+        sides = f"'left', right({gap}, {CONTEXT}), 'right', left(get({g(out)}, i + 1), {CONTEXT})"
+        return f"transform(sequence(0, size({m(out)}) - 1), i -> named_struct('start', {at}, 'end', {at} + length({value}), 'value', {value}, {sides}))"
+
+    df = df.withColumns({m(out): found(*p) for out, p in patterns.items()})
+    df = df.withColumns({g(out): F.when(F.size(m(out)) > 0, F.split(text, p, -1)) for out, (p, _) in patterns.items()})
+    df = df.withColumns({s(out): some(out, steps(out)) for out in patterns})
+    df = df.withColumns({n(out): some(out, running_sum(s(out))) for out in patterns})
+    df = df.withColumns({out: some(out, spans(out), f"CAST(array() AS {SPAN})") for out in patterns})
+    return df.drop(*(x(out) for out in patterns for x in (m, g, s, n)))
 
 
 def digits_of(value: Column) -> Column:
