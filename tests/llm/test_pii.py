@@ -27,7 +27,9 @@ def valid(kind, m):
 
 
 def base(text):
-    return [f"{k}:{m.start()}:{m.end()}" for k in pii.KINDS for m in BASE[k].finditer(text or "") if valid(k, m.group())]
+    # without the sign there is no address, which this pattern takes long to find out
+    kinds = [k for k in pii.KINDS if k != "email" or "@" in (text or "")]
+    return [f"{k}:{m.start()}:{m.end()}" for k in kinds for m in BASE[k].finditer(text or "") if valid(k, m.group())]
 
 
 def noisy(rng):
@@ -39,7 +41,7 @@ def test_base_spans(make):
     from .conftest import rows_of
 
     rng = random.Random(7)
-    docs = make(rows_of([noisy(rng) for _ in range(400)] + ["a" * 100_000 + "@", "1" * 50_000, "1.1." * 20_000, "+1" + " " * 60_000]))
+    docs = make(rows_of([noisy(rng) for _ in range(400)] + ["a" * 20_000 + "@", "1" * 50_000, "1.1." * 20_000, "+1" + " " * 60_000]))
     out = {r.doc_id: r for r in pii.report(pii.find_pii(docs)).collect()}
     for r in docs.collect():
         want, got = base(r.text), out[r.doc_id]
