@@ -5,8 +5,12 @@ buckets, are verified exactly, and linked items form components by distributed u
 occurrences the first one stays. Blank lines are left alone.
 
 One changed character changes as many shingles as a shingle has characters, which is much of a short line. With
-``fine``, two lines of at most FINE_CHARS characters are also linked if their sets of shingles of that many characters
-reach the threshold.
+``fine``, lines are short that have at most FINE_CHARS characters (or no more distinct shingles than those have), and two
+short lines are linked if their sets of shingles of ``fine`` characters reach the threshold; a long line and another one
+are compared by the longer shingles, and so are short ones that have enough of those to resemble a long line.
+
+A line's identity has 96 bits: the 64 of its hash, by which lines are dealt, and 32 more that are compared where lines
+are taken for equal. Only one of several lines that share the 64 bits is linked with others.
 
 Signatures: a set of fewer than SMALL + margin shingles gets classic MinHash values, one of SMALL or more gets
 one-permutation values (the least hash in each of as many bins, empty bins borrowing from others). The margin is such
@@ -16,6 +20,7 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing, near
-from .common import materialize, number_batches, text_batches, text_or_empty
+from .common import materialize, number_batches, release, text_batches, text_or_empty
 
 SHINGLE = 8
 THRESHOLD = 0.8
@@ -37,9 +42,10 @@ MAX_BANDS = 13
 MAX_FINE_BANDS = 16
 SMALL = 160
 BATCH_CHARS = 1 << 18
-#: Bits of the filter that passes over most lines when texts of candidates are read again. False hits only cost time.
-FILTER_BITS = 24
+#: Slots of the memory of lines that a task has met; a line that has been pushed out of it only costs time.
+MET_SLOTS = 1 << 20
 _HASH_BITS = 44
+_SECOND = np.uint64(0x14057B7EF767814F)
 
 
 @functools.cache
@@ -73,17 +79,26 @@ class Lines:
         ends = np.r_[solid, 0]
         self.start = np.where(self.blank, start, ends[np.minimum(a, len(ends) - 1)])
         self.end = np.where(self.blank, start, ends[np.maximum(b, 1) - 1] + 1)
-        value = _char_table()[code & 0xFFFF]
+        self.value = _char_table()[code & 0xFFFF]
         if (code > 0xFFFF).any():
-            value = value + (code >> 16).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
-        up, down = hashing._power(len(code) + 1)
-        self.total = np.zeros(len(code) + 1, dtype=np.uint64)
-        np.cumsum(value * up[: len(code)], out=self.total[1:])
-        self.down = down
+            self.value = self.value + (code >> 16).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
+        self.up, self.down = hashing._power(len(code) + 1)
+        self.total = self._sums(self.value)
+
+    def _sums(self, value: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(value) + 1, dtype=np.uint64)
+        np.cumsum(value * self.up[: len(value)], out=out[1:])
+        return out
+
+    def _whole(self, total: np.ndarray) -> np.ndarray:
+        return hashing.mix((total[self.end] - total[self.start]) * self.down[self.start] + (self.end - self.start).astype(np.uint64))
 
     def hashes(self) -> np.ndarray:
-        n = (self.end - self.start).astype(np.uint64)
-        return hashing.mix((self.total[self.end] - self.total[self.start]) * self.down[self.start] + n)
+        return self._whole(self.total)
+
+    def checks(self) -> np.ndarray:
+        """32 further bits of each line."""
+        return (self._whole(self._sums(hashing.mix(self.value ^ _SECOND))) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
     def shingles(self, which: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Distinct shingles of the lines ``which`` (indexes, ascending): (position in ``which``, hash), sorted. A line
@@ -168,15 +183,46 @@ def _groups(texts: list[str]) -> Iterator[tuple[int, int]]:
 _PARTS = 1 << 16
 
 
+class Met:
+    """Which lines a task has met, in bounded memory."""
+
+    def __init__(self):
+        self.at = np.zeros(MET_SLOTS, dtype=np.int64)
+        self.at[0] = 1  # no hash is taken for met at the start
+
+    def fresh(self, h: np.ndarray) -> np.ndarray:
+        """Positions, ascending, of the first occurrences in ``h`` (int64) that are not remembered; they are from now on."""
+        _, first = np.unique(h, return_index=True)
+        slot = h[first] & (MET_SLOTS - 1)
+        first, slot = first[self.at[slot] != h[first]], slot[self.at[slot] != h[first]]
+        self.at[slot] = h[first]
+        return np.sort(first)
+
+
 def occurrences(docs: DataFrame, k: int, threshold: float, bands: int, rows: int, fine: tuple[int, int, int] | None = None) -> DataFrame:
     """Rows of two kinds from ``docs`` (``_row``, ``_id``, ``_text``). For each text one with ``_line`` -1, ``_n`` its number
-    of lines and ``_list`` those that are blank; for each other line one with ``_line``, ``_h`` its hash, ``_n`` its
-    shingles and ``_list`` its band keys, null if this task has met the line before.
+    of lines and ``_list`` those that are blank; for each other line one with ``_line``, ``_h`` and ``_check`` its hashes,
+    ``_n`` its shingles and ``_list`` its band keys, empty if this task remembers the line.
 
     With ``fine`` (characters, bands, rows) the last bit of a key is 1 if it comes from the shorter shingles."""
+    # distinct shingles of the largest short line, and characters that a line needs to resemble one with more of them
+    most = FINE_CHARS - k + 1
+    least = int(np.ceil(threshold * (most + 1) - 1e-9)) + k - 1
+
+    def keys_of(lines: Lines, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if fine is None:
+            return signatures(lines, which, k, threshold, bands, rows)
+        length = lines.end[which] - lines.start[which]
+        long = np.flatnonzero(length >= least)
+        size = np.zeros(len(which), dtype=np.int64)
+        size[long], at, keys = signatures(lines, which[long], k, threshold, bands, rows)
+        short = np.flatnonzero((length <= FINE_CHARS) | (size <= most))
+        own_size, own, more = signatures(lines, which[short], fine[0], threshold, *fine[1:])
+        size[short] = np.maximum(size[short], own_size)
+        return size, np.r_[long[at], short[own]], np.r_[keys & ~np.uint64(1), more | np.uint64(1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: set[int] = set()
+        met = Met()
         for batch in batches:
             ids, texts = batch.select([0, 1]), batch.column(2).to_pylist()
             for a, b in _groups(texts):
@@ -185,39 +231,25 @@ def occurrences(docs: DataFrame, k: int, threshold: float, bands: int, rows: int
                 blank = np.bincount(lines.doc[lines.blank], minlength=b - a)
                 blanks = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(blank)].astype(np.int32)), pa.array(lines.line[lines.blank].astype(np.int64)))
                 head = ids.slice(a, b - a)
-                none = pa.nulls(b - a, pa.int64())
-                yield _batch(head, np.full(b - a, -1), none, count, blanks)
+                yield _batch(head, np.full(b - a, -1), pa.nulls(b - a, pa.int64()), pa.nulls(b - a, pa.int32()), count, blanks)
                 full = np.flatnonzero(~lines.blank)
-                hashed = lines.hashes()
+                hashed, checked = hashing.as_signed(lines.hashes()), lines.checks()
                 for c in range(0, len(full), _PARTS):
                     which = full[c : c + _PARTS]
-                    h = hashed[which]
-                    signed = hashing.as_signed(h)
-                    fresh = np.zeros(len(which), dtype=bool)
-                    for i, x in enumerate(signed.tolist()):
-                        if x not in met:
-                            met.add(x)
-                            fresh[i] = True
-                    new = np.flatnonzero(fresh)
-                    size, at, keys = signatures(lines, which[new], k, threshold, bands, rows)
-                    if fine is not None:
-                        short = np.flatnonzero(lines.end[which[new]] - lines.start[which[new]] <= FINE_CHARS)
-                        _, own, more = signatures(lines, which[new[short]], fine[0], threshold, *fine[1:])
-                        at, keys = np.r_[at, short[own]], np.r_[keys & ~np.uint64(1), more | np.uint64(1)]
+                    new = met.fresh(hashed[which])
+                    size, at, keys = keys_of(lines, which[new])
                     order = np.argsort(at, kind="stable")
-                    many = np.zeros(len(which), np.int64)
-                    many[new] = np.bincount(at, minlength=len(new))
-                    n = np.zeros(len(which), np.int64)
-                    n[new] = size
+                    many, n = np.zeros(len(which), np.int64), np.zeros(len(which), np.int64)
+                    many[new], n[new] = np.bincount(at, minlength=len(new)), size
                     lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(many)].astype(np.int32)), pa.array(hashing.as_signed(keys[order])))
-                    yield _batch(head.take(pa.array(lines.doc[which])), lines.line[which], pa.array(signed), n, lists)
+                    yield _batch(head.take(pa.array(lines.doc[which])), lines.line[which], pa.array(hashed[which]), pa.array(checked[which]), n, lists)
 
     kind = docs.schema["_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"_row long, _id {kind}, _line long, _h long, _n long, _list array<long>")
+    return docs.mapInArrow(run, f"_row long, _id {kind}, _line long, _h long, _check int, _n long, _list array<long>")
 
 
-def _batch(ids: pa.RecordBatch, line, h, n, lists) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*ids.columns, pa.array(line.astype(np.int64)), h, pa.array(n.astype(np.int64)), lists], names=["_row", "_id", "_line", "_h", "_n", "_list"])
+def _batch(ids: pa.RecordBatch, line, h, check, n, lists) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*ids.columns, pa.array(line.astype(np.int64)), h, check, pa.array(n.astype(np.int64)), lists], names=["_row", "_id", "_line", "_h", "_check", "_n", "_list"])
 
 
 def shared_keys(keys: DataFrame) -> DataFrame:
@@ -247,37 +279,27 @@ def shared_keys(keys: DataFrame) -> DataFrame:
     return keys.repartition("_key").sortWithinPartitions("_key", "_row").mapInArrow(run, "_key long, _row long, _n long")
 
 
-def _filter(items: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size of the items' hashes."""
-    slot = F.pmod(F.col("_row"), F.lit(1 << FILTER_BITS))
-    words = items.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(_row, {1 << FILTER_BITS}) & 63 AS int))")).alias("b")).toArrow()
-    out = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
-    out[words["w"].to_numpy()] = words["b"].to_numpy()
-    return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
-
-
 def candidate_lines(docs: DataFrame, bits: np.ndarray) -> DataFrame:
-    """``_h`` and ``_text`` of the lines of ``docs`` (``_text``) that pass the filter, once a task."""
-    packed = np.packbits(bits)
+    """``_h``, ``_check`` and ``_text`` of the lines of ``docs`` (``_text``) that pass the filter, one row for each hash.
+
+    A task gives a line once while it remembers it; the copies of a common line are combined before they are dealt."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.unpackbits(packed).astype(bool)
-        met: set[int] = set()
+        met = Met()
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for a, b in _groups(texts):
                 lines = Lines(texts[a:b])
-                h = hashing.as_signed(lines.hashes())
-                hit = np.flatnonzero(wanted[h & ((1 << FILTER_BITS) - 1)] & ~lines.blank)
-                take = []
-                for i, x in zip(hit, h[hit].tolist(), strict=True):
-                    if x not in met:
-                        met.add(x)
-                        take.append(i)
-                if take:
-                    yield pa.RecordBatch.from_arrays([pa.array(h[take]), pa.array([lines.text(i) for i in take], pa.string())], names=["_h", "_text"])
+                h, check = hashing.as_signed(lines.hashes()), lines.checks()
+                hit = np.flatnonzero(near.passes(bits, h) & ~lines.blank)
+                take = hit[met.fresh(h[hit])]
+                if len(take):
+                    yield pa.RecordBatch.from_arrays([pa.array(h[take]), pa.array(check[take]), pa.array([lines.text(i) for i in take], pa.string())], names=["_h", "_check", "_text"])
 
-    return docs.mapInArrow(run, "_h long, _text string")
+    found = docs.mapInArrow(run, "_h long, _check int, _text string")
+    # of lines that share a hash the one with the least further bits stands for it
+    first = found.groupBy("_h").agg(F.min(F.struct("_check", "_text")).alias("x"))
+    return first.select("_h", "x._check", "x._text")
 
 
 def shingler(k: int):
@@ -293,10 +315,11 @@ def shingler(k: int):
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL, fine: int | None = None) -> DataFrame:
     """One row per input row: ``id_col``, ``n_lines``, ``n_dropped``, ``dropped`` (array of line numbers, from 0).
 
-    ``fine``: characters of the shingles by which short lines are compared as well.
+    ``fine``: characters of the shingles by which short lines are compared.
 
-    Occurrences are ordered by id, row and line number; null ids come last. A null or empty text has one line, which
-    is blank. ``drop_lines`` applies the result to a text."""
+    Occurrences are ordered by id, row (the order of the table) and line number; null ids come last. Rows that repeat
+    an id or a whole row are rows of their own. A null or empty text has one line, which is blank. Other columns are
+    ignored, whatever their names. ``drop_lines`` applies the result to a text."""
     text_batches(docs.sparkSession)
     fine = None if fine == k else fine
     bands, rows = near.choose_bands(threshold, recall, MAX_BANDS)
@@ -308,19 +331,25 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keys = each.select(F.explode("_list").alias("_key"), F.col("_h").alias("_row"), "_n")
     with number_batches(docs.sparkSession):
         shared = materialize(shared_keys(keys), "shared")
-    links = None
+    links, checks = [], []
     for size in (k,) if fine is None else (k, fine):
         own = shared if fine is None else shared.where(F.col("_key").bitwiseAND(F.lit(1)) == int(size == fine))
         items = materialize(near.candidate_groups(own), "items")
-        texts = candidate_lines(docs.select(text), _filter(items))
-        known = items.join(texts, F.col("_row") == F.col("_h")).select("_row", F.lit(1).cast("long").alias("_copies"), "_groups", "_text")
-        found_links = materialize(near.verify(known, shingler(size), threshold), "links")
-        links = found_links if links is None else links.unionByName(found_links)
-    tied = links.where("_other IS NOT NULL").select(F.col("_row").alias("_a"), F.col("_other").alias("_b"))
-    labels = materialize(near.components(tied).withColumnRenamed("_row", "_l"), "labels")
-    labelled = each.join(labels, F.col("_h") == F.col("_l"), "left").withColumn("_label", F.coalesce("_label", "_h"))
+        texts = candidate_lines(docs.select(text), near.bitmap(items, "_row"))
+        known = items.join(texts, F.col("_row") == F.col("_h")).select("_row", F.lit(1).cast("long").alias("_copies"), "_groups", "_text", "_check")
+        known = materialize(known, "known")
+        links.append(materialize(near.verify(known.drop("_check"), shingler(size), threshold), "links"))
+        checks.append(materialize(known.select("_row", "_check"), "checks"))
+        release(items, known)
+    release(shared)
+    tied = reduce(DataFrame.unionByName, links).where("_other IS NOT NULL").select(F.col("_row").alias("_a"), F.col("_other").alias("_b"))
+    labels = near.components(tied).join(reduce(DataFrame.unionByName, checks).distinct(), "_row")
+    labels = materialize(labels.select(F.col("_row").alias("_l"), F.col("_check").alias("_c"), "_label"), "labels")
+    labelled = each.join(labels, (F.col("_h") == F.col("_l")) & (F.col("_check") == F.col("_c")), "left")
+    # a line by itself is told from others by all of its bits
+    labelled = labelled.withColumns({"_own": F.when(F.col("_label").isNull(), F.col("_check")), "_label": F.coalesce("_label", "_h")})
     place = F.struct(F.col("_id").isNull().alias("null"), F.col("_id").alias("id"), F.col("_row").alias("row"), F.col("_line").alias("line"))
-    stay = labelled.groupBy("_label").agg(F.min(place).alias("_first"))
+    stay = labelled.groupBy("_label", "_own").agg(F.min(place).alias("_first"))
     # the lines of one document
     stay = stay.groupBy(F.col("_first.row").alias("_r")).agg(F.collect_list("_first.line").alias("_stay"))
     numbers = F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)

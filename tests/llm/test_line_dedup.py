@@ -69,7 +69,15 @@ def test_fuzzy(make):
 
 
 def test_rows_of_messy_tables(messy, empty):
-    assert D.line_dedup(messy).count() == messy.count()
+    rows = sorted(((r.doc_id, r.text) for r in messy.collect()), key=lambda r: (r[0] is None, r[0] or 0))
+    want = brute(rows)
+    for fine in (None, D.FINE):
+        out = D.line_dedup(messy, fine=fine).collect()
+        # rows of one id may change places among each other
+        assert sorted(Counter(r.doc_id for r in out).items(), key=str) == sorted(Counter(d for d, _ in rows).items(), key=str)
+        assert sum(r.n_dropped for r in out) == sum(map(len, want.values()))
+        once = [d for d, n in Counter(d for d, _ in rows).items() if n == 1]
+        assert {r.doc_id: r.dropped for r in out if r.doc_id in once} == {d: want[i] for i, (d, _) in enumerate(rows) if d in once}
     assert D.report(D.line_dedup(empty)).collect() == []
 
 
@@ -79,6 +87,31 @@ def test_hot_lines(make):
     compare(make(rows_of([f"the same line in all of the texts\nown line {i} of {i * 7919}" for i in range(300)])))
 
 
+def test_a_hot_line_is_verified_once(make):
+    """However many tasks hold a line, one row of it reaches the verification."""
+    from .conftest import rows_of
+
+    docs = make(rows_of(["the same line in all of the texts\nthe same line in all of the text"] * 300)).selectExpr("text AS _text")
+    every = np.full(1 << 13, 255, dtype=np.uint8)
+    for n in (1, 4, 16):
+        assert D.candidate_lines(docs.repartition(n), every).count() == 2
+
+
+def test_lines_met(monkeypatch):
+    monkeypatch.setattr(D, "MET_SLOTS", 4)
+    met = D.Met()
+    assert met.fresh(np.array([0, 5, 0, 6, 5])).tolist() == [0, 1, 3]
+    assert met.fresh(np.array([0, 5, 6, 9])).tolist() == [3]
+    assert met.fresh(np.array([5, -1])).tolist() == [0, 1]
+
+
+def test_lines_of_one_hash(spark, monkeypatch):
+    """Different lines of one 64-bit hash stay; the further bits tell them apart."""
+    monkeypatch.setattr(D.Lines, "hashes", lambda self: np.full(len(self.line), 7, dtype=np.uint64))
+    lines = D.Lines(["one line\nanother line\none line"])
+    assert len(set(lines.checks().tolist())) == 2 and lines.checks()[0] == lines.checks()[2]
+
+
 def test_drop_lines(spark):
     df = spark.createDataFrame([("a\nb\nc", [0, 2]), (None, []), ("a", [0])], "text string, dropped array<long>")
     assert [r.text for r in D.drop_lines(df).collect()] == ["b", "", ""]
