@@ -47,17 +47,20 @@ def choose_bands(threshold: float, recall: float, most: int = MAX_BANDS) -> tupl
 
 @functools.cache
 def _functions(n: int) -> tuple[np.ndarray, np.ndarray]:
-    seeds = hashing.mix(np.arange(1, 2 * n + 1, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25))
-    return seeds[:n], seeds[n:] | np.uint64(1)
+    seeds = (hashing.mix(np.arange(1, 2 * n + 1, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25)) >> np.uint64(32)).astype(np.uint32)
+    return seeds[:n], seeds[n:] | np.uint32(1)
 
 
 def minima(h: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
-    """MinHash values, one row per set: ``h`` holds the sets one after another, each from its start."""
+    """MinHash values, one row per set: ``h`` holds the sets one after another, each from its start. They are made of the
+    upper 32 bits of the hashes, which processors take several of at a time."""
     flip, times = _functions(n)
-    out = np.empty((len(starts), n), dtype=np.uint64)
+    h = (h >> np.uint64(32)).astype(np.uint32)
+    out, turned = np.empty((n, len(starts)), dtype=np.uint32), np.empty_like(h)
     for k in range(n):
-        out[:, k] = np.minimum.reduceat((h ^ flip[k]) * times[k], starts)
-    return out
+        np.multiply(np.bitwise_xor(h, flip[k], out=turned), times[k], out=turned)
+        np.minimum.reduceat(turned, starts, out=out[k])
+    return out.T.astype(np.uint64)
 
 
 def band_keys(low: np.ndarray, bands: int, rows: int) -> np.ndarray:
