@@ -45,6 +45,7 @@ BATCH_CHARS = 1 << 18
 #: Slots of the memory of lines that a task has met; a line that has been pushed out of it only costs time.
 MET_SLOTS = 1 << 20
 _HASH_BITS = 44
+_SIZE_BITS = 31
 _SECOND = np.uint64(0x14057B7EF767814F)
 
 
@@ -204,7 +205,8 @@ def occurrences(docs: DataFrame, k: int, threshold: float, bands: int, rows: int
     of lines and ``_list`` those that are blank; for each other line one with ``_line``, ``_h`` and ``_check`` its hashes,
     ``_n`` its shingles and ``_list`` its band keys, empty if this task remembers the line.
 
-    With ``fine`` (characters, bands, rows) the last bit of a key is 1 if it comes from the shorter shingles."""
+    With ``fine`` (characters, bands, rows) the last bit of a key is 1 if it comes from the shorter shingles, and ``_n``
+    has their number in its last _SIZE_BITS bits, that of the others above them."""
     # distinct shingles of the largest short line, and characters that a line needs to resemble one with more of them
     most = FINE_CHARS - k + 1
     least = int(np.ceil(threshold * (most + 1) - 1e-9)) + k - 1
@@ -214,12 +216,11 @@ def occurrences(docs: DataFrame, k: int, threshold: float, bands: int, rows: int
             return signatures(lines, which, k, threshold, bands, rows)
         length = lines.end[which] - lines.start[which]
         long = np.flatnonzero(length >= least)
-        size = np.zeros(len(which), dtype=np.int64)
+        size, fine_size = np.zeros((2, len(which)), dtype=np.int64)
         size[long], at, keys = signatures(lines, which[long], k, threshold, bands, rows)
         short = np.flatnonzero((length <= FINE_CHARS) | (size <= most))
-        own_size, own, more = signatures(lines, which[short], fine[0], threshold, *fine[1:])
-        size[short] = np.maximum(size[short], own_size)
-        return size, np.r_[long[at], short[own]], np.r_[keys & ~np.uint64(1), more | np.uint64(1)]
+        fine_size[short], own, more = signatures(lines, which[short], fine[0], threshold, *fine[1:])
+        return size << _SIZE_BITS | fine_size, np.r_[long[at], short[own]], np.r_[keys & ~np.uint64(1), more | np.uint64(1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met = Met()
@@ -252,10 +253,12 @@ def _batch(ids: pa.RecordBatch, line, h, check, n, lists) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*ids.columns, pa.array(line.astype(np.int64)), h, check, pa.array(n.astype(np.int64)), lists], names=["_row", "_id", "_line", "_h", "_check", "_n", "_list"])
 
 
-def shared_keys(keys: DataFrame) -> DataFrame:
-    """Rows of ``keys`` (``_key``, ``_row``, ``_n``) whose key has two or more items, each (key, item) once.
+def shared_keys(keys: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Rows of ``keys`` (``_key``, ``_row``, ``_n``) whose key has another item of a size that can reach the threshold,
+    each (key, item) once.
 
-    The rows of a partition come sorted and are passed over once, so nothing is held but the last one."""
+    The rows of a partition come sorted by key and size, so an item of such a size, if there is one, is its neighbour's;
+    they are passed over once, and nothing is held but the last one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # key, item, shingles, whether its item is out already
@@ -267,7 +270,7 @@ def shared_keys(keys: DataFrame) -> DataFrame:
                 continue
             new = np.r_[True, (key[1:] != key[:-1]) | (row[1:] != row[:-1])]
             key, row, n = key[new], row[new], n[new]
-            same = key[1:] == key[:-1]
+            same = (key[1:] == key[:-1]) & (n[:-1] >= threshold * n[1:] - 1e-9)
             out = np.r_[False, same] | np.r_[same, False]
             if last is not None and last[3]:
                 out[0] = False
@@ -276,7 +279,7 @@ def shared_keys(keys: DataFrame) -> DataFrame:
             if out.any():
                 yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (key, row, n)], names=["_key", "_row", "_n"])
 
-    return keys.repartition("_key").sortWithinPartitions("_key", "_row").mapInArrow(run, "_key long, _row long, _n long")
+    return keys.repartition("_key").sortWithinPartitions("_key", "_n", "_row").mapInArrow(run, "_key long, _row long, _n long")
 
 
 def candidate_lines(docs: DataFrame, bits: np.ndarray) -> DataFrame:
@@ -329,8 +332,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = materialize(occurrences(source, k, threshold, bands, rows, more), "lines")
     each, heads = found.where("_line >= 0"), found.where("_line = -1")
     keys = each.select(F.explode("_list").alias("_key"), F.col("_h").alias("_row"), "_n")
+    if fine is not None:
+        own = F.when(F.col("_key").bitwiseAND(F.lit(1)) == 1, F.col("_n").bitwiseAND(F.lit((1 << _SIZE_BITS) - 1))).otherwise(F.shiftright("_n", _SIZE_BITS))
+        keys = keys.withColumn("_n", own)
     with number_batches(docs.sparkSession):
-        shared = materialize(shared_keys(keys), "shared")
+        shared = materialize(shared_keys(keys, threshold), "shared")
     links, checks = [], []
     for size in (k,) if fine is None else (k, fine):
         own = shared if fine is None else shared.where(F.col("_key").bitwiseAND(F.lit(1)) == int(size == fine))

@@ -131,6 +131,13 @@ def test_shared_keys(spark):
     assert got == sorted((k, r) for k, v in items.items() if len(v) > 1 for r in v)
 
 
+def test_shared_keys_of_like_sizes(spark):
+    """Items of sizes that cannot reach the threshold do not count as neighbours."""
+    rows = [(1, 10, 50), (1, 11, 41), (1, 12, 30), (1, 11, 41), (2, 10, 50), (2, 12, 30), (3, 12, 30)]
+    got = D.shared_keys(spark.createDataFrame(rows, "_key long, _row long, _n long")).collect()
+    assert sorted((r["_key"], r["_row"]) for r in got) == [(1, 10), (1, 11)]
+
+
 @pytest.mark.parametrize("n", [3, 50, 300])
 def test_similar_lines_share_a_key(n):
     """Recall at the threshold, over both kinds of signature."""
