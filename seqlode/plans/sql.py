@@ -11,7 +11,7 @@ docs AS (SELECT user_id AS doc_idx, list(code ORDER BY ts, event_id) AS tokens F
 
 def tok(source: str = "docs", id_col: str = "doc_idx", name: str = "tok") -> str:
     """One row per token: id, t, pos, len."""
-    return f"{name} AS (SELECT {id_col}, unnest(tokens) AS t, generate_subscripts(tokens, 1) AS pos, len(tokens) AS len FROM {source})"
+    return f"{name} AS MATERIALIZED (SELECT {id_col}, unnest(tokens) AS t, generate_subscripts(tokens, 1) AS pos, len(tokens) AS len FROM {source})"
 
 
 def gram(n: int, source: str = "tok", id_col: str = "doc_idx", name: str = "gram") -> str:
@@ -32,13 +32,13 @@ def normal(raw: str, id_col: str, name: str) -> str:
     return f"{name} AS (SELECT {id_col}, gram, w / CASE WHEN norm = 0 THEN 1 ELSE norm END AS w FROM (SELECT *, sqrt(sum(w * w) OVER (PARTITION BY {id_col})) AS norm FROM {raw}))"
 
 
-PMI = """bi AS (SELECT doc_idx, t AS a, lead(t) OVER (PARTITION BY doc_idx ORDER BY pos) AS b FROM tok),
-pairs AS (SELECT a, b, count(*) AS cnt FROM bi WHERE b IS NOT NULL GROUP BY a, b),
-single AS (SELECT t, count(*) AS c FROM tok GROUP BY t),
+PMI = """bi AS MATERIALIZED (SELECT doc_idx, t AS a, lead(t) OVER (PARTITION BY doc_idx ORDER BY pos) AS b FROM tok),
+pairs AS MATERIALIZED (SELECT a, b, count(*) AS cnt FROM bi WHERE b IS NOT NULL GROUP BY a, b),
+single AS MATERIALIZED (SELECT t, count(*) AS c FROM tok GROUP BY t),
+totals AS MATERIALIZED (SELECT (SELECT CAST(sum(cnt) AS DOUBLE) FROM pairs) AS n_bi, (SELECT CAST(sum(c) AS DOUBLE) FROM single) AS n_tok),
 pmi AS (
-  SELECT a, b, cnt, ln((cnt / (SELECT CAST(sum(cnt) AS DOUBLE) FROM pairs))
-    / ((x.c / (SELECT CAST(count(*) AS DOUBLE) FROM tok)) * (y.c / (SELECT CAST(count(*) AS DOUBLE) FROM tok)))) AS pmi
-  FROM pairs JOIN single x ON x.t = a JOIN single y ON y.t = b WHERE cnt >= 2
+  SELECT a, b, cnt, ln((cnt / n_bi) / ((x.c / n_tok) * (y.c / n_tok))) AS pmi
+  FROM pairs JOIN single x ON x.t = a JOIN single y ON y.t = b CROSS JOIN totals WHERE cnt >= 2
 )"""
 
 #: Similarities of queries and documents from normalised weights ``dw`` and ``qw``.

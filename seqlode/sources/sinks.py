@@ -35,7 +35,8 @@ def write_file_list(rows: DataFrame, path: str) -> None:
 
 
 def write_relevance(pairs: DataFrame, path: str) -> None:
-    """One JSON object per line, a line per query: {"query": ..., "relevant": [...]}."""
+    """One JSON object per line, a line per query: {"query": ..., "relevant": [...]}; ``read_relevance`` reads it. A query
+    with null documents alone has an empty list."""
     pairs.groupBy(F.col("query_stem").alias("query")).agg(F.array_sort(F.collect_list("doc_stem")).alias("relevant")).write.mode("overwrite").json(path)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.indexing import dense_index
 from ..functions.keys import normalized_id, path_stem
-from ..functions.tokens import parse_json_tokens, parse_tokens
+from ..functions.tokens import parse_json_tokens, parse_tokens, stripped
 
 #: Header names that a token table may use, compared in lower case.
 NAME_HEADERS = ("filename", "file", "name", "id", "utt_id", "query_id")
@@ -24,22 +24,24 @@ def token_columns(columns: list[str]) -> tuple[str, str]:
     return (named or columns)[0], (tokens or columns[1:2] or columns)[0]
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV with a header, all columns strings, cells of any length, quotes doubled inside quotes."""
-    return spark.read.option("header", True).option("escape", '"').option("multiLine", False).option("maxCharsPerColumn", -1).csv(path)
+def read_csv(spark: SparkSession, path: str, line_breaks: bool = True) -> DataFrame:
+    """A CSV with a header, all columns strings, cells of any length, quotes doubled inside quotes.
 
+    With ``line_breaks`` quoted cells may hold line breaks; a file is then one task. Without, large files are split."""
+    return spark.read.option("header", True).option("escape", '"').option("multiLine", line_breaks).option("maxCharsPerColumn", -1).csv(path)
 
-def read_tokens(spark: SparkSession, path: str, cells: str = "plain", keep_empty: bool = False) -> DataFrame:
+
+def read_tokens(spark: SparkSession, path: str, cells: str = "plain", keep_empty: bool = False, line_breaks: bool = True) -> DataFrame:
     """A token table as ``doc_idx``, ``stem``, ``tokens``.
 
     ``cells``: "plain" (commas, else white space; what is no integer is skipped) or "json" (a JSON array or commas).
-    Of rows with one stem the last one's tokens count, in the first one's place. Rows without tokens are left out
+    White space around names does not count. Of rows with one stem the last one's tokens count, in the first one's place. Rows without tokens are left out
     unless ``keep_empty``; if nothing is left, ValueError is raised."""
-    raw = read_csv(spark, path)
+    raw = read_csv(spark, path, line_breaks)
     name, data = token_columns(raw.columns)
     parse = parse_tokens if cells == "plain" else parse_json_tokens
     cell = F.coalesce(F.col(f"`{data}`"), F.lit(""))
-    rows = raw.select(path_stem(F.coalesce(F.col(f"`{name}`"), F.lit(""))).alias("stem"), parse(cell).alias("tokens"), F.monotonically_increasing_id().alias("_at"))
+    rows = raw.select(path_stem(stripped(F.coalesce(F.col(f"`{name}`"), F.lit("")))).alias("stem"), parse(cell).alias("tokens"), F.monotonically_increasing_id().alias("_at"))
     if not keep_empty:
         rows = rows.where(F.size("tokens") > 0)
     rows = rows.groupBy("stem").agg(F.min("_at").alias("_at"), F.max_by("tokens", "_at").alias("tokens"))
@@ -57,12 +59,18 @@ def read_queries(spark: SparkSession, path: str, **options) -> DataFrame:
 
 
 def read_relevance(spark: SparkSession, path: str, ids: str = "stem") -> DataFrame:
-    """A relevance file, one JSON object: ``query_stem``, ``doc_stem``, ``key_order``.
+    """A relevance file: ``query_stem``, ``doc_stem``, ``key_order``. It is one JSON object, or has an object with ``query``
+    and ``relevant`` on each line, as ``write_relevance`` writes (which many tasks can read).
 
-    A value is an object with the list ``relevant``, or a list. ``ids``: "stem" takes file stems, "suffix" what
+    A value of the one object is an object with the list ``relevant``, or a list. ``ids``: "stem" takes file stems, "suffix" what
     follows their last underscore, "raw" the strings themselves. A key with an empty list has a row with a null
     document."""
     make: dict[str, callable] = {"stem": path_stem, "suffix": normalized_id, "raw": lambda c: c}
+    head = spark.read.text(path).where(F.trim("value") != "").limit(1).select(F.json_object_keys("value").alias("k")).first()
+    if head and set(head["k"] or ()) == {"query", "relevant"}:
+        lines = spark.read.schema("query string, relevant array<string>").json(path)
+        each = lines.select(make[ids](F.col("query")).alias("query_stem"), F.monotonically_increasing_id().alias("key_order"), F.explode_outer("relevant").alias("d"))
+        return each.select("query_stem", make[ids](F.col("d")).alias("doc_stem"), "key_order")
     raw = spark.read.text(path, wholetext=True)
     pairs = raw.select(F.posexplode(F.map_entries(F.from_json("value", "map<string,string>"))).alias("key_order", "e"))
     named = F.from_json("e.value", "struct<relevant:array<string>>")["relevant"]

@@ -46,6 +46,28 @@ def test_relevance(spark, tmp_path):
     assert {r.query_stem: r.n_rel for r in tables.named_counts(tables.read_relevance(spark, path)).collect()} == {"THE_q_1": 2, "q_2": 1, "q_3": 0}
 
 
+def test_written_relevance_is_read(spark, tmp_path):
+    """What a preparation writes comes back whole, and joins to a ground truth."""
+    from seqlode.operators.groundtruth import ground_truth
+
+    pairs = [("q1", "d1"), ("q1", "d2"), ("q2", "d3"), ("q3", None)]
+    path = str(tmp_path / "relevance")
+    sinks.write_relevance(spark.createDataFrame(pairs, "query_stem string, doc_stem string").repartition(3), path)
+    back = tables.read_relevance(spark, path)
+    assert sorted(((r.query_stem, r.doc_stem) for r in back.collect()), key=repr) == sorted(pairs, key=repr)
+    assert {r.query_stem: r.n_rel for r in tables.named_counts(back).collect()} == {"q1": 2, "q2": 1, "q3": 0}
+    queries = spark.createDataFrame([(0, "q1"), (1, "q2")], "query_idx long, stem string")
+    corpus = spark.createDataFrame([(7, "d1"), (8, "d2"), (9, "d3")], "doc_idx long, stem string")
+    assert sorted(map(tuple, ground_truth(queries, corpus, back).select("query_idx", "doc_idx").collect())) == [(0, 7), (0, 8), (1, 9)]
+
+
+def test_line_breaks_and_blanks(spark, tmp_path):
+    path = write(tmp_path / "c.csv", 'Filename,Data\n" a.wav ","1,2,\n3"\n"b.wav"," 4 5\n6 "\n')
+    assert {r.stem: r.tokens for r in tables.read_corpus(spark, path).collect()} == {"a": [1, 2, 3], "b": [4, 5, 6]}
+    path = write(tmp_path / "j.csv", 'id,tokens\na,"[1,\n2]"\nb," 3,\n4"\n')
+    assert {r.stem: r.tokens for r in tables.read_corpus(spark, path, cells="json").collect()} == {"a": [1, 2], "b": [3, 4]}
+
+
 def test_tables_come_back(spark, tmp_path):
     docs = spark.createDataFrame([(0, "a", [1, 2]), (1, "b", [3])], "doc_idx long, stem string, tokens array<int>")
     sinks.write_tokens(docs, str(tmp_path / "t"))
