@@ -33,6 +33,12 @@ def document_frequency(docs: DataFrame, n: int = 1) -> DataFrame:
     return docs.select(F.explode(F.array_distinct(ngrams("tokens", n))).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
 
 
+def gram_table(docs: DataFrame, n: int = 1) -> DataFrame:
+    """Occurrences and documents of each n-gram from one count by document: ``gram``, ``cnt``, ``df``. Beside other uses of
+    ``term_counts`` the documents are tokenised and dealt once (Spark reuses the exchange)."""
+    return term_counts(docs, n).groupBy("gram").agg(F.sum("cnt").alias("cnt"), F.count(F.lit(1)).alias("df"))
+
+
 def corpus_size(docs: DataFrame) -> DataFrame:
     """One row: documents ``n_docs``, tokens ``n_tok``, adjacent pairs ``n_bi``."""
     length = F.size("tokens").cast("long")
@@ -52,11 +58,9 @@ def plain_idf(n_docs: Column, df: Column) -> Column:
     return F.ln(n_docs / df)
 
 
-def idf_table(docs: DataFrame, n: int = 1, idf=smoothed_idf, only: DataFrame | None = None) -> DataFrame:
-    """``gram``, ``df``, ``idf``; with ``only`` (``gram``), of those n-grams alone."""
-    df = document_frequency(docs, n)
-    if only is not None:
-        df = df.join(only.select("gram"), "gram", "left_semi")
+def idf_table(docs: DataFrame, n: int = 1, idf=smoothed_idf, counted: DataFrame | None = None) -> DataFrame:
+    """``gram``, ``df``, ``idf``; of the n-grams of ``counted`` (``gram``, ``df``), if that is given."""
+    df = document_frequency(docs, n) if counted is None else counted
     total = docs.agg(F.count(F.lit(1)).alias("_n"))
     return df.crossJoin(F.broadcast(total)).select("gram", "df", idf(F.col("_n"), F.col("df")).alias("idf"))
 

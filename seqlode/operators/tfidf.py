@@ -53,7 +53,7 @@ class PairModel:
     @classmethod
     def fit(cls, docs: DataFrame, tau: float = 0.5, alpha: float = 1.0, min_count: int = 2, scores: DataFrame | None = None) -> PairModel:
         scores = pmi_op.pmi(docs, min_count) if scores is None else scores
-        return cls(stats.idf_table(docs), stats.idf_table(docs, 2, only=pmi_op.selected_pairs(scores, tau)), alpha)
+        return cls(stats.idf_table(docs, counted=stats.gram_table(docs)), stats.idf_table(docs, 2, counted=pmi_op.selected_pairs(scores, tau)), alpha)
 
     def weights(self, docs: DataFrame, id_col: str = "doc_idx") -> DataFrame:
         parts = part(docs, 1, self.idf, id_col)
