@@ -362,3 +362,22 @@ def test_nearest_centroid(spark):
     assert [r.token for r in quantize.assign(f, c).orderBy("i").collect()] == [0, 1, 0]
     fitted = quantize.fit_centroids(spark.createDataFrame([([0.0],), ([0.1],), ([9.0],), ([9.1],)], "vec array<double>"), 2)
     assert sorted(r.centroid[0] for r in fitted.collect()) == pytest.approx([0.05, 9.05])
+
+
+def test_ranks_of_pairs_are_those_of_the_full_ranking(spark):
+    """Ties, similarities of zero (given or left out) and negative ones; document numbers with gaps."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from seqlode.operators import rank
+
+    rng = random.Random(8)
+    ids = [3 * i + i % 2 for i in range(40)]
+    docs = spark.createDataFrame([(i, [1]) for i in ids], "doc_idx long, tokens array<int>")
+    queries = spark.createDataFrame([(q,) for q in range(4)], "query_idx long")
+    sims = [(q, i, rng.choice([0.5, 0.25, 0.0, -0.5, 0.125])) for q in range(3) for i in rng.sample(ids, 25)]
+    sims = spark.createDataFrame(sims, "query_idx long, doc_idx long, sim double")
+    pairs = docs.select("doc_idx").crossJoin(queries).where(F.col("doc_idx") % 4 != 1)
+    want = rank.by_similarity(sims, queries, docs).join(pairs, ["query_idx", "doc_idx"]).select("query_idx", "doc_idx", "rank")
+    assert sorted(map(tuple, rank.ranks_of(pairs, sims, docs).collect())) == sorted(map(tuple, want.collect()))
