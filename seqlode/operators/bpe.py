@@ -2,7 +2,8 @@
 
 A sequence is kept as one string with a blank on either side of every token, so applying a merge is a plain string
 replacement: left to right and without overlap. Learning alternates counting pairs over the corpus with one
-replacement; its state is a string column, and lineage is cut every few merges."""
+replacement; its state is a string column, written as a table every few merges, so that a step reads the last table and
+applies the merges since then in one projection."""
 
 from __future__ import annotations
 
@@ -12,9 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ngrams import bigrams
+from ..sources import workspace
 
-#: Merges between two checkpoints while learning.
-CHECKPOINT_EVERY = 10
+#: Merges between two written states while learning.
+WRITE_EVERY = 10
 
 
 def as_blanked(tokens: str | Column) -> Column:
@@ -69,25 +71,43 @@ class Merges:
 
 def fit(docs: DataFrame, merges: int = 200, min_frequency: int = 2) -> Merges:
     """Learn up to ``merges`` merges of integer tokens; stops when the best pair is rarer than ``min_frequency``.
-    New ids follow the largest token. An empty corpus gives no merge."""
-    top = docs.select(F.max(F.array_max("tokens")).alias("m")).first()["m"]
-    base = 0 if top is None else int(top) + 1
-    out = Merges([], [], base)
-    now = docs.select("doc_idx", "tokens")
-    checkpoints = docs.sparkSession.sparkContext.getCheckpointDir() is not None
+    New ids follow the largest token. An empty corpus gives no merge.
+
+    The state goes to the folder of ``workspace``; the table before goes when the next one stands."""
+    spark = docs.sparkSession
+    path = _written(docs.select("doc_idx", as_blanked("tokens").alias("_s")), spark)
+    top = spark.read.parquet(path).select(F.max(F.array_max(as_tokens(F.col("_s")))).alias("m")).first()["m"]
+    out = Merges([], [], 0 if top is None else int(top) + 1)
+    since: list[tuple[int, int, int]] = []
     for step in range(merges if top is not None else 0):
-        best = most_frequent_pair(now).first()
+        best = most_frequent_pair(_merged(spark, path, since).select("doc_idx", as_tokens(F.col("_s")).alias("tokens"))).first()
         if best is None or best["cnt"] < min_frequency:
             break
-        merge = (int(best["a"]), int(best["b"]), base + step)
+        merge = (int(best["a"]), int(best["b"]), out.base_vocab + step)
         out.steps.append(merge)
         out.counts.append(int(best["cnt"]))
-        now = encode(now, [merge])
-        if checkpoints and step % CHECKPOINT_EVERY == CHECKPOINT_EVERY - 1:
-            now = now.checkpoint()
+        since.append(merge)
+        if len(since) == WRITE_EVERY and step + 1 < merges:
+            path, before = _written(_merged(spark, path, since), spark), path
+            workspace.remove(before)
+            since = []
+    workspace.remove(path)
     return out
 
 
+def _written(state: DataFrame, spark) -> str:
+    path = workspace.new_path(spark, "merging")
+    state.write.parquet(path)
+    return path
+
+
+def _merged(spark, path: str, merges: list[tuple[int, int, int]]) -> DataFrame:
+    s = F.col("_s")
+    for a, b, new in merges:
+        s = apply_merge(s, a, b, new)
+    return spark.read.parquet(path).select("doc_idx", s.alias("_s"))
+
+
 def fit_to_vocabulary(docs: DataFrame, vocab_size: int = 1024, min_frequency: int = 2) -> Merges:
     """As ``fit``, until the vocabulary has ``vocab_size`` ids; none if the tokens fill it already."""
     top = docs.select(F.max(F.array_max("tokens")).alias("m")).first()["m"]

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantize import assign, fit_centroids, nearest_tokens
+
 DIGITS = 9
 
 
@@ -56,24 +58,45 @@ def cosine_distance(a: Column, b: Column) -> Column:
 def dense_knn(queries: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """Exact k nearest of dense vectors (``query_idx``/``doc_idx``, ``vec``) by cosine: a block nested loop over the
     query set, whose size is the caller's choice; ranks of each partition are cut to ``k`` before the exchange."""
-    pairs = docs.select("doc_idx", F.col("vec").alias("_d")).crossJoin(queries.select("query_idx", F.col("vec").alias("_q")))
-    scored = pairs.select("query_idx", "doc_idx", F.round(dense_cosine(F.col("_q"), F.col("_d")), DIGITS).alias("sim"))
-    return ranked(scored, "cand_rank", F.desc("sim"), F.asc("doc_idx")).where(F.col("cand_rank") <= k)
+    unit = _units(queries, "query_idx", "_q"), _units(docs, "doc_idx", "_d")
+    return _nearest(unit[1].crossJoin(unit[0]), k)
+
 
+def _units(rows: DataFrame, index: str, name: str, *more: str) -> DataFrame:
+    """Vectors of length 1, so that a pair takes one product; one of norm zero becomes all zero."""
+    x = F.col("vec").cast("array<double>")
+    norm = F.sqrt(F.aggregate(x, F.lit(0.0), lambda s, v: s + v * v))
+    return rows.select(index, *more, norm.alias("_norm"), x.alias("_x")).select(index, *more, F.transform("_x", lambda v: F.when(F.col("_norm") == 0, F.lit(0.0)).otherwise(v / F.col("_norm"))).alias(name))
 
-def lsh_knn(queries: DataFrame, docs: DataFrame, k: int, buckets: float = 0.5, tables: int = 12, seed: int = 42) -> DataFrame:
-    """Approximate k nearest by random projections: candidates share a bucket of one of the tables, then cosine
-    decides. Vectors of unit length are assumed for the buckets."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    q = queries.select("query_idx", "vec", array_to_vector(F.col("vec").cast("array<double>")).alias("features"))
-    d = docs.select("doc_idx", "vec", array_to_vector(F.col("vec").cast("array<double>")).alias("features"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=buckets, numHashTables=tables, seed=seed).fit(d)
-    near = model.approxSimilarityJoin(q, d, 2.0)
-    scored = near.select(
-        F.col("datasetA.query_idx").alias("query_idx"),
-        F.col("datasetB.doc_idx").alias("doc_idx"),
-        F.round(dense_cosine(F.col("datasetA.vec"), F.col("datasetB.vec")), DIGITS).alias("sim"),
-    )
+
+def _nearest(pairs: DataFrame, k: int) -> DataFrame:
+    dot = F.aggregate(F.zip_with("_q", "_d", lambda u, v: u * v), F.lit(0.0), lambda s, t: s + t)
+    scored = pairs.select("query_idx", "doc_idx", F.round(dot, DIGITS).alias("sim"))
     return ranked(scored, "cand_rank", F.desc("sim"), F.asc("doc_idx")).where(F.col("cand_rank") <= k)
+
+
+#: Lists of the inverted file: about the root of the number of documents, at most this many.
+MAX_LISTS = 4096
+
+
+def ivf_knn(queries: DataFrame, docs: DataFrame, k: int, lists: int | None = None, probes: float = 0.25, seed: int = 42) -> DataFrame:
+    """Approximate k nearest by cosine with an inverted file, columns as of ``dense_knn``.
+
+    Centroids are fitted to a bounded sample of the documents (``fit_centroids``); every document is in the list of its
+    nearest centroid, and a query looks into the share ``probes`` of the lists, the nearest first. A query whose lists
+    hold fewer than ``k`` documents is searched exactly. Rows are scored once, as a document is in one list."""
+    n = docs.count()
+    lists = max(1, min(MAX_LISTS, int(n**0.5))) if lists is None else lists
+    if n <= max(k, lists):
+        return dense_knn(queries, docs, k)
+    unit = _units(docs, "doc_idx", "vec")
+    centroids = fit_centroids(unit, lists, seed)
+    filed = assign(unit, centroids).select("token", "doc_idx", F.col("vec").alias("_d"))
+    look = max(1, round(lists * probes))
+    near = nearest_tokens(_units(queries, "query_idx", "vec"), centroids, look)
+    probed = near.select("query_idx", F.col("vec").alias("_q"), F.explode("tokens").alias("token"))
+    sizes = filed.groupBy("token").agg(F.count(F.lit(1)).alias("_n"))
+    few = probed.join(F.broadcast(sizes), "token").groupBy("query_idx").agg(F.sum("_n").alias("_n")).where(F.col("_n") >= k)
+    exact = queries.join(few, "query_idx", "left_anti")
+    found = _nearest(probed.join(few.select("query_idx"), "query_idx", "left_semi").join(filed, "token"), k)
+    return found.unionByName(dense_knn(exact, docs, k))

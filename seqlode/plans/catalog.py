@@ -4,8 +4,6 @@ Outputs are scalar: arrays are joined to strings, doubles rounded to six digits.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,12 +11,11 @@ from ..functions.keys import config_tag, normalized_id, path_stem, relative_gain
 from ..operators import bpe, groundtruth, metrics, pmi, quantize, rank, similarity, stats, tfidf
 from ..operators.align import alignment_score, warping_distance
 from . import corpora as C
+from . import file_catalog as _files  # noqa: F401 - registers its queries
 from . import sql as S
+from .register import ORACLES, QUERIES, query
 from .systems import System, candidates, evaluated, ranking, similarities, truth_ranks
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
 #: Candidates of the registered systems; fewer than the documents, so the choice of candidates matters.
 FEW = 20
 #: Candidates of the flagship, the reference's default.
@@ -27,16 +24,6 @@ CANDIDATES = 200
 MERGES = [(0, 1, 5), (2, 2, 6), (5, 3, 7), (1, 4, 8)]
 
 
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _name(c: str = "gram"):
     return F.array_join(F.col(c).cast("array<string>"), " ").alias("gram")
 
@@ -212,9 +199,9 @@ def embedding_knn(spark, d):
 
 
 @query()
-def embedding_knn_lsh(spark, d):
-    """Approximate neighbours; what it finds depends on the projections."""
-    return similarity.lsh_knn(*_vectors(spark, d), 10).select("query_idx", "doc_idx", _r("sim"), "cand_rank")
+def embedding_knn_ivf(spark, d):
+    """Approximate neighbours; what is found depends on the centroids."""
+    return similarity.ivf_knn(*_vectors(spark, d), 10).select("query_idx", "doc_idx", _r("sim"), "cand_rank")
 
 
 @query("""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS vec FROM embeddings)
@@ -470,12 +457,32 @@ def bpe_compression(spark, d):
     return _rounded(bpe.compression_ratio(docs, bpe.encode(docs, MERGES)))
 
 
-@query()
+def _learned(steps: int) -> str:
+    """The steps of learning one after the other: the best pair of a state, and the state with it merged."""
+    ctes, rows = [S.CODED, _CODED_TEXT], []
+    for i in range(steps):
+        ctes += [
+            f"t{i} AS MATERIALIZED (SELECT doc_idx, unnest(l) AS t, generate_subscripts(l, 1) AS pos FROM (SELECT doc_idx, string_split(trim(replace(s, '  ', ' ')), ' ') AS l FROM s{i} WHERE s <> ''))",
+            f"p{i} AS (SELECT doc_idx, pos, t AS a, lead(t) OVER (PARTITION BY doc_idx ORDER BY pos) AS b FROM t{i})",
+            f"b{i} AS MATERIALIZED (SELECT a, b, count(*) AS cnt, min(doc_idx * 100000 + pos) AS first, (SELECT count(*) FROM types) + {i} AS new_id FROM p{i} WHERE b IS NOT NULL GROUP BY a, b HAVING count(*) >= 2 ORDER BY cnt DESC, first LIMIT 1)",
+            f"s{i + 1} AS MATERIALIZED (SELECT doc_idx, replace(s, ' ' || a || '  ' || b || ' ', ' ' || new_id || ' ') AS s FROM s{i} CROSS JOIN b{i})",
+        ]
+        rows.append(f"SELECT CAST({i} AS BIGINT) AS step, CAST(a AS INT) AS a, CAST(b AS INT) AS b, CAST(new_id AS INT) AS new_id, cnt FROM b{i}")
+    return f"WITH {', '.join(ctes)} {' UNION ALL '.join(rows)}"
+
+
+@query(_learned(6))
 def bpe_fit_k(spark, d):
     """Learned merges; each step depends on the one before."""
     return bpe.fit(C.coded_users(spark, d), 6).table(spark)
 
 
+@query(_learned(12))
+def bpe_fit_past_a_written_state(spark, d):
+    """More merges than there are between two written states."""
+    return bpe.fit(C.coded_users(spark, d), bpe.WRITE_EVERY + 2).table(spark)
+
+
 # quantisation
 
 _MEANS = """m AS (SELECT token, list(m ORDER BY pos) AS centroid FROM (SELECT label AS token, pos, avg(CAST(x AS DOUBLE)) AS m FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings) GROUP BY label, pos) GROUP BY token),

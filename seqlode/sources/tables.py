@@ -86,7 +86,9 @@ def named_counts(relevance: DataFrame, distinct: bool = True) -> DataFrame:
 
 
 def read_manifest(spark: SparkSession, path: str, languages: list[str] | None = None) -> DataFrame:
-    rows = spark.read.option("multiLine", True).json(path)
+    """A manifest as it is written, an object a line, or one JSON array; ``languages`` keeps those of the column ``lang``."""
+    head = spark.read.text(path).where(F.trim("value") != "").limit(1).select(F.json_object_keys("value").alias("k")).first()
+    rows = spark.read.option("multiLine", not (head and head["k"])).json(path)
     return rows if languages is None else rows.where(F.col("lang").isin(languages))
 
 

@@ -381,3 +381,48 @@ def test_ranks_of_pairs_are_those_of_the_full_ranking(spark):
     pairs = docs.select("doc_idx").crossJoin(queries).where(F.col("doc_idx") % 4 != 1)
     want = rank.by_similarity(sims, queries, docs).join(pairs, ["query_idx", "doc_idx"]).select("query_idx", "doc_idx", "rank")
     assert sorted(map(tuple, rank.ranks_of(pairs, sims, docs).collect())) == sorted(map(tuple, want.collect()))
+
+
+def _vectors(spark, n, width=8):
+    rng = np.random.default_rng(5)
+    middle = rng.normal(size=(20, width))
+    x = middle[rng.integers(0, 20, n)] + 0.4 * rng.normal(size=(n, width))
+    return spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "doc_idx long, vec array<double>")
+
+
+def test_inverted_file_reaches_its_recall_with_part_of_the_pairs(spark):
+    docs = _vectors(spark, 3000).persist()
+    queries = docs.where("doc_idx % 100 = 0").withColumnRenamed("doc_idx", "query_idx")
+    exact = {(r.query_idx, r.doc_idx) for r in similarity.dense_knn(queries, docs, 10).collect()}
+    found = similarity.ivf_knn(queries, docs, 10).collect()
+    assert len(found) == len(exact) == 300
+    assert len({(r.query_idx, r.doc_idx) for r in found}) == 300
+    assert len(exact & {(r.query_idx, r.doc_idx) for r in found}) >= 0.9 * len(exact)
+
+
+def test_inverted_file_fills_up(spark):
+    docs = _vectors(spark, 60)
+    queries = docs.where("doc_idx < 3").withColumnRenamed("doc_idx", "query_idx")
+    # one list of many, with fewer documents than are asked for
+    rows = similarity.ivf_knn(queries, docs, 20, lists=30, probes=0.01).groupBy("query_idx").count().collect()
+    assert sorted((r.query_idx, r["count"]) for r in rows) == [(0, 20), (1, 20), (2, 20)]
+    assert similarity.ivf_knn(queries, docs, 100).count() == 180
+    assert similarity.ivf_knn(queries, docs.limit(0), 5).count() == 0
+
+
+def test_zero_vectors_resemble_nothing(spark):
+    docs = spark.createDataFrame([(0, [0.0, 0.0]), (1, [3.0, 0.0]), (2, [0.0, 2.0])], "doc_idx long, vec array<double>")
+    queries = docs.withColumnRenamed("doc_idx", "query_idx")
+    found = {(r.query_idx, r.doc_idx): r.sim for r in similarity.dense_knn(queries, docs, 3).collect()}
+    assert found == {(a, b): float(a == b and a > 0) for a in range(3) for b in range(3)}
+
+
+def test_learning_merges_past_a_written_state(spark):
+    docs = spark.createDataFrame([(i, [(i * 7 + j * j) % 5 for j in range(40)]) for i in range(12)] + [(99, [])], "doc_idx long, tokens array<int>")
+    found = bpe.fit(docs, bpe.WRITE_EVERY + 3)
+    assert len(found.steps) == bpe.WRITE_EVERY + 3
+    # each merge is the best pair of what the earlier ones leave
+    for i, (a, b, new) in enumerate(found.steps):
+        best = bpe.most_frequent_pair(bpe.encode(docs, found.steps[:i])).first()
+        assert (a, b, new, found.counts[i]) == (best["a"], best["b"], 5 + i, best["cnt"])
+    assert bpe.fit(docs.where("doc_idx = 99"), 5).steps == []

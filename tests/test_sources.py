@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from seqlode.plans import cli, prep, sweeps
 from seqlode.plans.systems import ALIGNED, PAIRED, UNIGRAM, System, compared
-from seqlode.sources import annotations, sinks, tables
+from seqlode.sources import annotations, sinks, tables, workspace
 from seqlode.streaming.scoring import Scorer, rank_stream, windowed_counts
 
 
@@ -213,3 +213,22 @@ def test_audio_to_tokens(spark, tmp_path):
     centroids = fit_centroids(frames.where("error IS NULL"), 2)
     tokens = {r.stem: max(set(r.tokens), key=r.tokens.count) for r in audio.tokenised(frames, centroids).collect()}
     assert set(tokens) == {"low", "high"} and tokens["low"] != tokens["high"]
+
+
+def test_manifests_of_lines_and_of_one_array(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "lang string, n long").coalesce(1)
+    sinks.write_manifest(rows, str(tmp_path / "lines"))
+    (tmp_path / "one.json").write_text('[\n {"lang": "a", "n": 1},\n {"lang": "b", "n": 2}, {"lang": "c", "n": 3}\n]')
+    for path in ("lines", "one.json"):
+        found = tables.read_manifest(spark, str(tmp_path / path), ["a", "c"])
+        assert sorted((r.lang, r.n) for r in found.collect()) == [("a", 1), ("c", 3)]
+
+
+def test_paths_of_the_workspace_are_removed(spark, tmp_path):
+    path = workspace.new_path(spark, "rows")
+    spark.range(3).write.parquet(path)
+    assert spark.read.parquet(path).count() == 3
+    workspace.remove(path)
+    workspace.remove(path)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)
