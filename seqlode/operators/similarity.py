@@ -5,6 +5,8 @@ cannot change a rank."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,14 +79,17 @@ def _nearest(pairs: DataFrame, k: int) -> DataFrame:
 
 #: Lists of the inverted file: about the root of the number of documents, at most this many.
 MAX_LISTS = 4096
+#: Queries that are searched exactly to learn how many lists the others need.
+MEASURED = 64
 
 
-def ivf_knn(queries: DataFrame, docs: DataFrame, k: int, lists: int | None = None, probes: float = 0.25, seed: int = 42) -> DataFrame:
+def ivf_knn(queries: DataFrame, docs: DataFrame, k: int, lists: int | None = None, probes: int | None = None, recall: float = 0.95, seed: int = 42) -> DataFrame:
     """Approximate k nearest by cosine with an inverted file, columns as of ``dense_knn``.
 
     Centroids are fitted to a bounded sample of the documents (``fit_centroids``); every document is in the list of its
-    nearest centroid, and a query looks into the share ``probes`` of the lists, the nearest first. A query whose lists
-    hold fewer than ``k`` documents is searched exactly. Rows are scored once, as a document is in one list."""
+    nearest centroid, and a query looks into the ``probes`` nearest lists. Without ``probes`` it is so many as hold the
+    share ``recall`` of the neighbours of MEASURED queries, chosen by a seeded hash and searched exactly. A query whose
+    lists hold fewer than ``k`` documents is searched exactly too. A document is in one list, so a pair is scored once."""
     n = docs.count()
     lists = max(1, min(MAX_LISTS, int(n**0.5))) if lists is None else lists
     if n <= max(k, lists):
@@ -92,7 +97,7 @@ def ivf_knn(queries: DataFrame, docs: DataFrame, k: int, lists: int | None = Non
     unit = _units(docs, "doc_idx", "vec")
     centroids = fit_centroids(unit, lists, seed)
     filed = assign(unit, centroids).select("token", "doc_idx", F.col("vec").alias("_d"))
-    look = max(1, round(lists * probes))
+    look = probes or _lists_needed(queries, docs, filed, centroids, k, lists, recall, seed)
     near = nearest_tokens(_units(queries, "query_idx", "vec"), centroids, look)
     probed = near.select("query_idx", F.col("vec").alias("_q"), F.explode("tokens").alias("token"))
     sizes = filed.groupBy("token").agg(F.count(F.lit(1)).alias("_n"))
@@ -100,3 +105,11 @@ def ivf_knn(queries: DataFrame, docs: DataFrame, k: int, lists: int | None = Non
     exact = queries.join(few, "query_idx", "left_anti")
     found = _nearest(probed.join(few.select("query_idx"), "query_idx", "left_semi").join(filed, "token"), k)
     return found.unionByName(dense_knn(exact, docs, k))
+
+
+def _lists_needed(queries: DataFrame, docs: DataFrame, filed: DataFrame, centroids: DataFrame, k: int, lists: int, recall: float, seed: int) -> int:
+    sample = queries.orderBy(F.xxhash64(F.lit(seed), "query_idx"), "query_idx").limit(MEASURED)
+    order = nearest_tokens(_units(sample, "query_idx", "vec"), centroids, lists).select("query_idx", "tokens")
+    found = dense_knn(sample, docs, k).join(filed.select("doc_idx", "token"), "doc_idx").join(order, "query_idx")
+    need = found.agg(F.percentile(F.array_position("tokens", F.col("token")), F.lit(recall)).alias("n")).first()["n"]
+    return lists if need is None else max(1, math.ceil(need))

@@ -394,7 +394,7 @@ def test_inverted_file_reaches_its_recall_with_part_of_the_pairs(spark):
     docs = _vectors(spark, 3000).persist()
     queries = docs.where("doc_idx % 100 = 0").withColumnRenamed("doc_idx", "query_idx")
     exact = {(r.query_idx, r.doc_idx) for r in similarity.dense_knn(queries, docs, 10).collect()}
-    found = similarity.ivf_knn(queries, docs, 10).collect()
+    found = similarity.ivf_knn(queries, docs, 10, lists=40).collect()
     assert len(found) == len(exact) == 300
     assert len({(r.query_idx, r.doc_idx) for r in found}) == 300
     assert len(exact & {(r.query_idx, r.doc_idx) for r in found}) >= 0.9 * len(exact)
@@ -404,7 +404,7 @@ def test_inverted_file_fills_up(spark):
     docs = _vectors(spark, 60)
     queries = docs.where("doc_idx < 3").withColumnRenamed("doc_idx", "query_idx")
     # one list of many, with fewer documents than are asked for
-    rows = similarity.ivf_knn(queries, docs, 20, lists=30, probes=0.01).groupBy("query_idx").count().collect()
+    rows = similarity.ivf_knn(queries, docs, 20, lists=30, probes=1).groupBy("query_idx").count().collect()
     assert sorted((r.query_idx, r["count"]) for r in rows) == [(0, 20), (1, 20), (2, 20)]
     assert similarity.ivf_knn(queries, docs, 100).count() == 180
     assert similarity.ivf_knn(queries, docs.limit(0), 5).count() == 0
