@@ -25,7 +25,7 @@ BUCKET_DIGITS = 3
 #: twice that.
 CLASSES = 8
 #: More patterns than this are refused, as the network is solved on the driver.
-MAX_PATTERNS = 20_000
+MAX_PATTERNS = 100_000
 
 
 def word_count(text_col: str = "text"):
@@ -63,10 +63,12 @@ class _Arc:
 
 
 class FlowNetwork:
-    """Min-cost flow by successive shortest paths with potentials (costs are not negative)."""
+    """Min-cost flow in phases: potentials by Dijkstra's distances, then all flow that the arcs of least cost can take.
+    Costs are not negative; there is a phase for each cost of a path that occurs, not for each path."""
 
     def __init__(self, nodes: int):
         self.arcs: list[list[_Arc]] = [[] for _ in range(nodes)]
+        self.height = [0] * nodes
 
     def add(self, a: int, b: int, cap: int, cost: int = 0) -> tuple[int, int]:
         self.arcs[a].append(_Arc(b, cap, cost, len(self.arcs[b])))
@@ -78,34 +80,72 @@ class FlowNetwork:
         return self.arcs[x.to][x.back].cap
 
     def solve(self, s: int, t: int) -> int:
-        n, flow = len(self.arcs), 0
-        height = [0] * n
+        flow = 0
+        while self._raise(s, t):
+            while level := self._levels(s, t):
+                flow += self._push(s, t, level)
+        return flow
+
+    def _free(self, v: int, x: _Arc) -> bool:
+        """Whether an arc has room and lies on a path of least cost."""
+        return x.cap > 0 and x.cost + self.height[v] == self.height[x.to]
+
+    def _raise(self, s: int, t: int) -> bool:
+        """Add the distances from ``s`` to the potentials; false if ``t`` is out of reach."""
+        dist: list[int | None] = [None] * len(self.arcs)
+        dist[s], heap = 0, [(0, s)]
+        while heap:
+            d, v = heapq.heappop(heap)
+            if d > dist[v]:
+                continue
+            for x in self.arcs[v]:
+                if x.cap > 0:
+                    e = d + x.cost + self.height[v] - self.height[x.to]
+                    if dist[x.to] is None or e < dist[x.to]:
+                        dist[x.to] = e
+                        heapq.heappush(heap, (e, x.to))
+        far = max(d for d in dist if d is not None)
+        self.height = [h + (d if d is not None else far) for h, d in zip(self.height, dist, strict=True)]
+        return dist[t] is not None
+
+    def _levels(self, s: int, t: int) -> list[int] | None:
+        """Number of free arcs from ``s`` to each node, -1 out of reach; None if that is so for ``t``."""
+        level, row = [-1] * len(self.arcs), [s]
+        level[s] = 0
+        while row:
+            later = []
+            for v in row:
+                for x in self.arcs[v]:
+                    if level[x.to] < 0 and self._free(v, x):
+                        level[x.to] = level[v] + 1
+                        later.append(x.to)
+            row = later
+        return level if level[t] >= 0 else None
+
+    def _push(self, s: int, t: int, level: list[int]) -> int:
+        """Fill the free paths that go up one level at a time until each has a full arc."""
+        flow, at, path, v = 0, [0] * len(self.arcs), [], s
         while True:
-            dist, via = [None] * n, [None] * n
-            dist[s], heap = 0, [(0, s)]
-            while heap:
-                d, v = heapq.heappop(heap)
-                if d > dist[v]:
-                    continue
-                for k, x in enumerate(self.arcs[v]):
-                    if x.cap > 0:
-                        e = d + x.cost + height[v] - height[x.to]
-                        if dist[x.to] is None or e < dist[x.to]:
-                            dist[x.to], via[x.to] = e, (v, k)
-                            heapq.heappush(heap, (e, x.to))
-            if dist[t] is None:
-                return flow
-            far = max(d for d in dist if d is not None)
-            height = [h + (d if d is not None else far) for h, d in zip(height, dist, strict=True)]
-            path, v = [], t
-            while v != s:
-                path.append(self.arcs[via[v][0]][via[v][1]])
-                v = via[v][0]
-            push = min(x.cap for x in path)
-            for x in path:
-                x.cap -= push
-                self.arcs[x.to][x.back].cap += push
-            flow += push
+            if v == t:
+                push = min(x.cap for _, x in path)
+                for _, x in path:
+                    x.cap -= push
+                    self.arcs[x.to][x.back].cap += push
+                flow += push
+                path, v = [], s
+                continue
+            while at[v] < len(self.arcs[v]):
+                x = self.arcs[v][at[v]]
+                if level[x.to] == level[v] + 1 and self._free(v, x):
+                    path.append((v, x))
+                    v = x.to
+                    break
+                at[v] += 1
+            else:
+                if not path:
+                    return flow
+                v, _ = path.pop()
+                at[v] += 1
 
 
 def route(patterns: list[tuple[tuple[int, ...], int]], quotas: list[int], most: int = MAX_REPEATS) -> list[list[tuple[int, int]]]:
@@ -157,6 +197,8 @@ def mix(
     found = sized.groupBy("_members").agg(F.sum("_size").alias("words")).limit(max_patterns + 1).collect()
     if len(found) > max_patterns:
         raise ValueError(f"more than {max_patterns} membership patterns")
+    # the flow's choice among equal ones depends on the order of the patterns
+    found.sort(key=lambda r: (r["_members"] is None, [(m is None, m or "") for m in r["_members"] or ()]))
     plan = _plan(spark, found, weights)
     # words of each bucket, then of the buckets before it
     at = F.substring("_order", 1, BUCKET_DIGITS)

@@ -1,7 +1,10 @@
+import math
 import random
 import re
+import time
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -100,3 +103,61 @@ def test_empty(empty):
 def test_too_many_patterns(messy):
     with pytest.raises(ValueError):
         M.mix(M.by_source(messy), max_patterns=1)
+
+
+def test_flow_of_many_patterns():
+    """As cheap as linear programming over the same network, and quick for thousands of patterns."""
+    rng = np.random.default_rng(3)
+    small = sorted({tuple(sorted(rng.choice(6, rng.integers(1, 4), replace=False).tolist())) for _ in range(25)})
+    patterns = [(m, int(w)) for m, w in zip(small, rng.integers(1, 40, len(small)), strict=True)]
+    quotas = [int(x) for x in rng.integers(20, 120, 6)]
+    given = M.route(patterns, quotas, 3)
+    assert [sum(w for _, w in g) <= 3 * n for g, (_, n) in zip(given, patterns, strict=True)] == [True] * len(patterns)
+    taken = [sum(w for g in given for m, w in g if m == q) for q in range(6)]
+    assert all(a <= b for a, b in zip(taken, quotas, strict=True))
+    cost = sum(max(0, sum(w for _, w in g) - k * n) for g, (_, n) in zip(given, patterns, strict=True) for k in (1, 2))
+    flow, least = _brute_flow(patterns, quotas, 3)
+    assert (sum(taken), cost) == (flow, least)
+    many = [((int(a), int(b)), int(w)) for a, b, w in zip(rng.integers(0, 40, 5000), rng.integers(40, 80, 5000), rng.integers(1, 1000, 5000), strict=True)]
+    began = time.time()
+    M.route(many, [60_000] * 80, 3)
+    assert time.time() - began < 30
+
+
+def _brute_flow(patterns, quotas, most):
+    """Flow and cost one path at a time, by the cheapest path that Bellman and Ford find."""
+    p, q = len(patterns), len(quotas)
+    s, t = p + q, p + q + 1
+    arcs = []  # from, to, room, cost; the arc back follows
+
+    def add(a, b, cap, cost):
+        arcs.extend([[a, b, cap, cost], [b, a, 0, -cost]])
+
+    for i, (members, words) in enumerate(patterns):
+        for k in range(most):
+            add(s, i, words, k)
+        for m in members:
+            add(i, p + m, most * words, 0)
+    for m, quota in enumerate(quotas):
+        add(p + m, t, quota, 0)
+    flow = cost = 0
+    while True:
+        dist, via = {s: 0}, {}
+        while True:
+            moved = False
+            for n, (a, b, cap, c) in enumerate(arcs):
+                if cap > 0 and a in dist and dist[a] + c < dist.get(b, math.inf):
+                    dist[b], via[b], moved = dist[a] + c, n, True
+            if not moved:
+                break
+        if t not in dist:
+            return flow, cost
+        path, v = [], t
+        while v != s:
+            path.append(via[v])
+            v = arcs[via[v]][0]
+        push = min(arcs[n][2] for n in path)
+        for n in path:
+            arcs[n][2] -= push
+            arcs[n ^ 1][2] += push
+        flow, cost = flow + push, cost + push * dist[t]
