@@ -337,19 +337,19 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         keys = keys.withColumn("_n", own)
     with number_batches(docs.sparkSession):
         shared = materialize(shared_keys(keys, threshold), "shared")
-    links, checks = [], []
-    for size in (k,) if fine is None else (k, fine):
-        own = shared if fine is None else shared.where(F.col("_key").bitwiseAND(F.lit(1)) == int(size == fine))
-        items = materialize(near.candidate_groups(own), "items")
-        texts = candidate_lines(docs.select(text), near.bitmap(items, "_row"))
-        known = items.join(texts, F.col("_row") == F.col("_h")).select("_row", F.lit(1).cast("long").alias("_copies"), "_groups", "_text", "_check")
-        known = materialize(known, "known")
-        links.append(materialize(near.verify(known.drop("_check"), shingler(size), threshold), "links"))
-        checks.append(materialize(known.select("_row", "_check"), "checks"))
-        release(items, known)
-    release(shared)
+    # texts are read once for the candidates of either size of shingle
+    sizes = [k] if fine is None else [k, fine]
+    groups = [near.candidate_groups(shared if fine is None else shared.where(F.col("_key").bitwiseAND(F.lit(1)) == int(size == fine))) for size in sizes]
+    items = materialize(reduce(DataFrame.unionByName, [g.withColumn("_shingle", F.lit(size)) for g, size in zip(groups, sizes, strict=True)]), "items")
+    texts = candidate_lines(docs.select(text), near.bitmap(items, "_row"))
+    known = items.join(texts, F.col("_row") == F.col("_h")).select("_row", F.lit(1).cast("long").alias("_copies"), "_groups", "_text", "_check", "_shingle")
+    known = materialize(known, "known")
+    release(items, shared)
+    links = [materialize(near.verify(known.where(F.col("_shingle") == size).drop("_check", "_shingle"), shingler(size), threshold), "links") for size in sizes]
+    checks = materialize(known.select("_row", "_check").distinct(), "checks")
+    release(known)
     tied = reduce(DataFrame.unionByName, links).where("_other IS NOT NULL").select(F.col("_row").alias("_a"), F.col("_other").alias("_b"))
-    labels = near.components(tied).join(reduce(DataFrame.unionByName, checks).distinct(), "_row")
+    labels = near.components(tied).join(checks, "_row")
     labels = materialize(labels.select(F.col("_row").alias("_l"), F.col("_check").alias("_c"), "_label"), "labels")
     labelled = each.join(labels, (F.col("_h") == F.col("_l")) & (F.col("_check") == F.col("_c")), "left")
     # a line by itself is told from others by all of its bits
