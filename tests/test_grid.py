@@ -97,7 +97,7 @@ def test_full_rankings_agree_with_those_from_similarities(spark, tau, few):
     assert [(r.query_idx, r.sim) for r in got] == [(r.query_idx, r.sim) for r in want.where("rank = 1").orderBy("query_idx").collect()]
 
 
-@pytest.mark.parametrize("name", ["aligned_full_rank"])
+@pytest.mark.parametrize("name", ["aligned_full_rank", "paired_full_rank"])
 def test_full_rankings_join_no_pairs(spark, monkeypatch, name):
     monkeypatch.delattr(rank, "all_pairs")
     QUERIES[name](spark, SMALL)
