@@ -24,7 +24,7 @@ def test_cosines_of_several_systems(spark, monkeypatch, slice_of):
         assert got == pytest.approx(want, abs=2e-9)
 
 
-@pytest.mark.parametrize("name", ["alpha_tau_sweep", "paired_rerank_documents"])
+@pytest.mark.parametrize("name", ["alpha_tau_sweep", "gain_vs_baseline", "paired_rerank_documents"])
 def test_documents_are_not_weighed_row_by_row(spark, monkeypatch, name):
     monkeypatch.delattr(tfidf, "part")
     QUERIES[name](spark, SMALL)
