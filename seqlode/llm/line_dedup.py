@@ -40,6 +40,8 @@ RECALL = 0.998
 MAX_BANDS = 13
 #: Unrelated lines share more short shingles, so their bands are longer, and there are more of them.
 MAX_FINE_BANDS = 16
+#: Parts in which band keys are sorted, one after another, so that the disk holds the exchange of one of them.
+KEY_PARTS = 3
 SMALL = 160
 BATCH_CHARS = 1 << 18
 #: Slots of the memory of lines that a task has met; a line that has been pushed out of it only costs time.
@@ -203,7 +205,8 @@ class Met:
 def occurrences(docs: DataFrame, k: int, threshold: float, bands: int, rows: int, fine: tuple[int, int, int] | None = None) -> DataFrame:
     """Rows of two kinds from ``docs`` (``_row``, ``_id``, ``_text``). For each text one with ``_line`` -1, ``_n`` its number
     of lines and ``_list`` those that are blank; for each other line one with ``_line``, ``_h`` and ``_check`` its hashes,
-    ``_n`` its shingles and ``_list`` its band keys, empty if this task remembers the line.
+    ``_n`` its shingles and ``_keys_0``, ``_keys_1``, ... its band keys, dealt by their value, empty if this task remembers
+    the line.
 
     With ``fine`` (characters, bands, rows) the last bit of a key is 1 if it comes from the shorter shingles, and ``_n``
     has their number in its last _SIZE_BITS bits, that of the others above them."""
@@ -232,25 +235,34 @@ def occurrences(docs: DataFrame, k: int, threshold: float, bands: int, rows: int
                 blank = np.bincount(lines.doc[lines.blank], minlength=b - a)
                 blanks = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(blank)].astype(np.int32)), pa.array(lines.line[lines.blank].astype(np.int64)))
                 head = ids.slice(a, b - a)
-                yield _batch(head, np.full(b - a, -1), pa.nulls(b - a, pa.int64()), pa.nulls(b - a, pa.int32()), count, blanks)
+                none = [pa.nulls(b - a, blanks.type)] * KEY_PARTS
+                yield _batch(head, np.full(b - a, -1), pa.nulls(b - a, pa.int64()), pa.nulls(b - a, pa.int32()), count, blanks, none)
                 full = np.flatnonzero(~lines.blank)
                 hashed, checked = hashing.as_signed(lines.hashes()), lines.checks()
                 for c in range(0, len(full), _PARTS):
                     which = full[c : c + _PARTS]
                     new = met.fresh(hashed[which])
                     size, at, keys = keys_of(lines, which[new])
-                    order = np.argsort(at, kind="stable")
-                    many, n = np.zeros(len(which), np.int64), np.zeros(len(which), np.int64)
-                    many[new], n[new] = np.bincount(at, minlength=len(new)), size
-                    lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(many)].astype(np.int32)), pa.array(hashing.as_signed(keys[order])))
-                    yield _batch(head.take(pa.array(lines.doc[which])), lines.line[which], pa.array(hashed[which]), pa.array(checked[which]), n, lists)
+                    n, part, lists = np.zeros(len(which), np.int64), (keys >> np.uint64(1)) % np.uint64(KEY_PARTS), []
+                    n[new] = size
+                    for p in range(KEY_PARTS):
+                        own = np.flatnonzero(part == p)
+                        own = own[np.argsort(at[own], kind="stable")]
+                        many = np.zeros(len(which), np.int64)
+                        many[new] = np.bincount(at[own], minlength=len(new))
+                        lists.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(many)].astype(np.int32)), pa.array(hashing.as_signed(keys[own]))))
+                    yield _batch(head.take(pa.array(lines.doc[which])), lines.line[which], pa.array(hashed[which]), pa.array(checked[which]), n, pa.nulls(len(which), blanks.type), lists)
 
     kind = docs.schema["_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"_row long, _id {kind}, _line long, _h long, _check int, _n long, _list array<long>")
+    return docs.mapInArrow(run, f"_row long, _id {kind}, _line long, _h long, _check int, _n long, _list array<long>, " + ", ".join(f"{c} array<long>" for c in _key_columns()))
 
 
-def _batch(ids: pa.RecordBatch, line, h, check, n, lists) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*ids.columns, pa.array(line.astype(np.int64)), h, check, pa.array(n.astype(np.int64)), lists], names=["_row", "_id", "_line", "_h", "_check", "_n", "_list"])
+def _key_columns() -> list[str]:
+    return [f"_keys_{p}" for p in range(KEY_PARTS)]
+
+
+def _batch(ids: pa.RecordBatch, line, h, check, n, blanks, lists) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*ids.columns, pa.array(line.astype(np.int64)), h, check, pa.array(n.astype(np.int64)), blanks, *lists], names=["_row", "_id", "_line", "_h", "_check", "_n", "_list", *_key_columns()])
 
 
 def shared_keys(keys: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -330,13 +342,21 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     source = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), text)
     more = None if fine is None else (fine, *near.choose_bands(threshold, recall, MAX_FINE_BANDS))
     found = materialize(occurrences(source, k, threshold, bands, rows, more), "lines")
-    each, heads = found.where("_line >= 0"), found.where("_line = -1")
-    keys = each.select(F.explode("_list").alias("_key"), F.col("_h").alias("_row"), "_n")
-    if fine is not None:
+
+    def keys_of(part: str) -> DataFrame:
+        keys = found.where("_line >= 0").select(F.explode(part).alias("_key"), F.col("_h").alias("_row"), "_n")
+        if fine is None:
+            return keys
         own = F.when(F.col("_key").bitwiseAND(F.lit(1)) == 1, F.col("_n").bitwiseAND(F.lit((1 << _SIZE_BITS) - 1))).otherwise(F.shiftright("_n", _SIZE_BITS))
-        keys = keys.withColumn("_n", own)
+        return keys.withColumn("_n", own)
+
     with number_batches(docs.sparkSession):
-        shared = materialize(shared_keys(keys, threshold), "shared")
+        parts = [materialize(shared_keys(keys_of(part), threshold), "shared") for part in _key_columns()]
+    shared = reduce(DataFrame.unionByName, parts)
+    # the keys, most of that table, are not needed any more
+    slim = materialize(found.drop(*_key_columns()), "lines")
+    release(found)
+    each, heads = slim.where("_line >= 0"), slim.where("_line = -1")
     # texts are read once for the candidates of either size of shingle
     sizes = [k] if fine is None else [k, fine]
     groups = [near.candidate_groups(shared if fine is None else shared.where(F.col("_key").bitwiseAND(F.lit(1)) == int(size == fine))) for size in sizes]
@@ -344,7 +364,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = candidate_lines(docs.select(text), near.bitmap(items, "_row"))
     known = items.join(texts, F.col("_row") == F.col("_h")).select("_row", F.lit(1).cast("long").alias("_copies"), "_groups", "_text", "_check", "_shingle")
     known = materialize(known, "known")
-    release(items, shared)
+    release(items, *parts)
     links = [materialize(near.verify(known.where(F.col("_shingle") == size).drop("_check", "_shingle"), shingler(size), threshold), "links") for size in sizes]
     checks = materialize(known.select("_row", "_check").distinct(), "checks")
     release(known)

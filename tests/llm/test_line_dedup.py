@@ -188,3 +188,15 @@ def test_the_query_compares_short_lines(spark, tmp_path):
     text = "Copyright (c) 2{}19 by the authors"
     spark.createDataFrame([(1, text.format(0)), (2, text.format(1))], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert {r.doc_id: r.n_dropped for r in registry.op8_line_dedup(spark, str(tmp_path)).collect()} == {1: 0, 2: 1}
+
+
+def test_band_keys_are_sorted_in_parts(spark, monkeypatch):
+    """No exchange holds all band keys, and the table of lines is kept without them."""
+    seen, names = [], []
+    shared_keys, materialize = D.shared_keys, D.materialize
+    monkeypatch.setattr(D, "shared_keys", lambda keys, threshold: seen.append(keys.count()) or shared_keys(keys, threshold))
+    monkeypatch.setattr(D, "materialize", lambda df, tag: names.append((tag, df.columns)) or materialize(df, tag))
+    rows = [(i, "\n".join(f"line {i} {j} " + "abcdefghij"[j % 10] * 9 + str(i * j) * 40 for j in range(20))) for i in range(30)]
+    D.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), fine=D.FINE).collect()
+    assert len(seen) > 1 and max(seen) < 0.6 * sum(seen)
+    assert not [c for c in [cols for tag, cols in names if tag == "lines"][-1] if c.startswith("_keys")]
