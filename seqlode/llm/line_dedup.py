@@ -14,7 +14,11 @@ are taken for equal. Only one of several lines that share the 64 bits is linked
 
 Signatures: a set of fewer than SMALL + margin shingles gets classic MinHash values, one of SMALL or more gets
 one-permutation values (the least hash in each of as many bins, empty bins borrowing from others). The margin is such
-that two sets above the threshold always share one of the two kinds."""
+that two sets above the threshold always share one of the two kinds.
+
+Unrelated short lines meet in many buckets. A sketch of 64 bits goes with their keys, each bit the parity of the number of
+shingles that fall on it. Two sketches differ in no more bits than their sets in shingles, so two sets whose sketches
+differ in more than sets at the threshold can are not similar: they are dropped before texts are fetched, no link is lost."""
 
 from __future__ import annotations
 
@@ -42,8 +46,12 @@ MAX_BANDS = 13
 MAX_FINE_BANDS = 16
 #: Parts in which band keys are sorted, one after another, so that the disk holds the exchange of one of them.
 KEY_PARTS = 3
+#: A bucket of more items is not looked at pair by pair before texts are fetched; all of like sizes stay.
+SKETCHED = 256
 SMALL = 160
-BATCH_CHARS = 1 << 18
+#: Characters and lines that are worked on at a time (their arrays fit a processor's cache) and rows that leave together.
+BATCH_CHARS = 1 << 16
+OUT_ROWS = 20_000
 #: Slots of the memory of lines that a task has met; a line that has been pushed out of it only costs time.
 MET_SLOTS = 1 << 20
 _HASH_BITS = 44
@@ -63,6 +71,26 @@ def _blank_table() -> np.ndarray:
     return out
 
 
+def _trimmed(code: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges of ``code`` without the blanks at both ends; a blank one is empty, at its start."""
+    blank = _blank_table()
+    a, b, solid = start.copy(), end.copy(), None
+    for at, step in ((a, 1), (b, -1)):
+        # few lines have more than a few blanks there; for those all others are searched
+        todo = np.flatnonzero(a < b)
+        for _ in range(8):
+            todo = todo[blank[np.minimum(code[at[todo] - (step < 0)], 65535)]]
+            at[todo] += step
+            todo = todo[a[todo] < b[todo]]
+            if not len(todo):
+                break
+        if len(todo):
+            solid = np.flatnonzero(~blank[np.minimum(code, 65535)]) if solid is None else solid
+            spot = np.searchsorted(solid, at[todo])
+            at[todo] = np.minimum(np.r_[solid, len(code)][spot], b[todo]) if step > 0 else solid[spot - 1] + 1
+    return np.where(a == b, start, a), np.where(a == b, start, b)
+
+
 class Lines:
     """The lines of a batch of texts as arrays: ``doc``, ``line`` (number in its text), ``start`` and ``end`` of the
     trimmed line among ``code`` (code points of all texts in lower case), blank ones included."""
@@ -76,12 +104,8 @@ class Lines:
         count = np.array([t.count("\n") + 1 for t in low])
         self.doc = np.repeat(np.arange(len(texts)), count)
         self.line = np.arange(len(feed)) - np.repeat(np.cumsum(count) - count, count)
-        solid = np.flatnonzero(~_blank_table()[np.minimum(code, 65535)])
-        a, b = np.searchsorted(solid, start), np.searchsorted(solid, feed)
-        self.blank = a == b
-        ends = np.r_[solid, 0]
-        self.start = np.where(self.blank, start, ends[np.minimum(a, len(ends) - 1)])
-        self.end = np.where(self.blank, start, ends[np.maximum(b, 1) - 1] + 1)
+        self.start, self.end = _trimmed(code, start, feed)
+        self.blank = self.start == self.end
         self.value = _char_table()[code & 0xFFFF]
         if (code > 0xFFFF).any():
             self.value = self.value + (code >> 16).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
@@ -99,9 +123,17 @@ class Lines:
     def hashes(self) -> np.ndarray:
         return self._whole(self.total)
 
-    def checks(self) -> np.ndarray:
-        """32 further bits of each line."""
-        return (self._whole(self._sums(hashing.mix(self.value ^ _SECOND))) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    def checks(self, which: np.ndarray | None = None) -> np.ndarray:
+        """32 further bits of each line, or of the lines ``which``."""
+        if which is None:
+            out = self._whole(self._sums(hashing.mix(self.value ^ _SECOND)))
+        else:
+            # their characters alone, one line after another; a hash does not depend on the place
+            many = self.end[which] - self.start[which]
+            at = np.cumsum(many) - many
+            total = self._sums(hashing.mix(self.value[np.repeat(self.start[which] - at, many) + np.arange(many.sum())] ^ _SECOND))
+            out = hashing.mix((total[at + many] - total[at]) * self.down[at] + many.astype(np.uint64))
+        return (out >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
     def shingles(self, which: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Distinct shingles of the lines ``which`` (indexes, ascending): (position in ``which``, hash), sorted. A line
@@ -112,8 +144,14 @@ class Lines:
             return np.zeros(0, np.int64), np.zeros(0, np.uint64)
         offset = np.cumsum(many) - many
         at = np.repeat(start - offset, many) + np.arange(many.sum())
-        to = np.minimum(at + k, np.repeat(end, many))
-        h = hashing.mix((self.total[to] - self.total[at]) * self.down[at])
+        if 2 * len(at) > len(self.value) > k:
+            # most places are wanted: all in a row, and the lines that are one shingle after that
+            h = hashing.mix((self.total[k:] - self.total[:-k]) * self.down[: len(self.total) - k])[np.minimum(at, len(self.total) - k - 1)]
+            few = np.flatnonzero((end > start) & (end - start < k))
+            h[offset[few]] = hashing.mix((self.total[end[few]] - self.total[start[few]]) * self.down[start[few]])
+        else:
+            to = np.minimum(at + k, np.repeat(end, many))
+            h = hashing.mix((self.total[to] - self.total[at]) * self.down[at])
         key = np.repeat(np.arange(len(which), dtype=np.uint64), many) << np.uint64(_HASH_BITS) | h >> np.uint64(64 - _HASH_BITS)
         key.sort()
         key = key[np.r_[True, key[1:] != key[:-1]]]
@@ -139,17 +177,30 @@ def _one_permutation(row: np.ndarray, h: np.ndarray, rows: int, n: int) -> np.nd
     has = np.zeros(rows * n, dtype=bool)
     out[cell[new]], has[cell[new]] = hashing.mix(h[new] + np.uint64(1)), True
     out, has = out.reshape(rows, n), has.reshape(rows, n)
-    for r in np.flatnonzero(~has.all(axis=1)):
-        order = _borrow(n)
-        for b in np.flatnonzero(~has[r]):
-            out[r, b] = out[r, order[b][has[r][order[b]]][0]] ^ np.uint64(b + 1)
+    r, b = np.nonzero(~has)
+    order = _borrow(n)[b]
+    first = np.argmax(has[r[:, None], order], axis=1)
+    out[r, b] = out[r, order[np.arange(len(r)), first]] ^ (b + 1).astype(np.uint64)
     return out
 
 
-def signatures(lines: Lines, which: np.ndarray, k: int, threshold: float, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Band keys of the lines ``which``: number of distinct shingles of each, and (position, key)."""
+def sketches(h: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64 bits for each set of distinct hashes, which ``h`` holds one after another: a bit is the parity of the number of
+    those that fall on it."""
+    out = np.zeros(len(size), dtype=np.uint64)
+    full = np.flatnonzero(size)
+    if len(full):
+        out[full] = np.bitwise_xor.reduceat(np.uint64(1) << (h & np.uint64(63)), (np.cumsum(size) - size)[full])
+    return out
+
+
+def signatures(lines: Lines, which: np.ndarray, k: int, threshold: float, bands: int, rows: int, sketch: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Band keys of the lines ``which``: number of distinct shingles of each, and (position, key). ``sketch`` is filled
+    with their sketches."""
     at, h = lines.shingles(which, k)
     size = np.bincount(at, minlength=len(which))
+    if sketch is not None:
+        sketch[:] = sketches(h, size)
     out = []
     n = bands * rows
     for large in (False, True):
@@ -209,23 +260,30 @@ def occurrences(docs: DataFrame, k: int, threshold: float, bands: int, rows: int
     the line.
 
     With ``fine`` (characters, bands, rows) the last bit of a key is 1 if it comes from the shorter shingles, and ``_n``
-    has their number in its last _SIZE_BITS bits, that of the others above them."""
+    has their number in its last _SIZE_BITS bits, that of the others above them. ``_sketch`` is that of the shorter
+    shingles, if there are any."""
     # distinct shingles of the largest short line, and characters that a line needs to resemble one with more of them
     most = FINE_CHARS - k + 1
     least = int(np.ceil(threshold * (most + 1) - 1e-9)) + k - 1
 
-    def keys_of(lines: Lines, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def keys_of(lines: Lines, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        sketch = np.zeros(len(which), dtype=np.uint64)
         if fine is None:
-            return signatures(lines, which, k, threshold, bands, rows)
+            return sketch, *signatures(lines, which, k, threshold, bands, rows, sketch)
         length = lines.end[which] - lines.start[which]
         long = np.flatnonzero(length >= least)
         size, fine_size = np.zeros((2, len(which)), dtype=np.int64)
         size[long], at, keys = signatures(lines, which[long], k, threshold, bands, rows)
         short = np.flatnonzero((length <= FINE_CHARS) | (size <= most))
-        fine_size[short], own, more = signatures(lines, which[short], fine[0], threshold, *fine[1:])
-        return size << _SIZE_BITS | fine_size, np.r_[long[at], short[own]], np.r_[keys & ~np.uint64(1), more | np.uint64(1)]
+        short_sketch = np.zeros(len(short), dtype=np.uint64)
+        fine_size[short], own, more = signatures(lines, which[short], fine[0], threshold, *fine[1:], short_sketch)
+        sketch[short] = short_sketch
+        return sketch, size << _SIZE_BITS | fine_size, np.r_[long[at], short[own]], np.r_[keys & ~np.uint64(1), more | np.uint64(1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _gathered(some(batches))
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met = Met()
         for batch in batches:
             ids, texts = batch.select([0, 1]), batch.column(2).to_pylist()
@@ -236,13 +294,15 @@ def occurrences(docs: DataFrame, k: int, threshold: float, bands: int, rows: int
                 blanks = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(blank)].astype(np.int32)), pa.array(lines.line[lines.blank].astype(np.int64)))
                 head = ids.slice(a, b - a)
                 none = [pa.nulls(b - a, blanks.type)] * KEY_PARTS
-                yield _batch(head, np.full(b - a, -1), pa.nulls(b - a, pa.int64()), pa.nulls(b - a, pa.int32()), count, blanks, none)
+                yield _batch(head, np.full(b - a, -1), pa.nulls(b - a, pa.int64()), pa.nulls(b - a, pa.int32()), count, blanks, pa.nulls(b - a, pa.int64()), none)
                 full = np.flatnonzero(~lines.blank)
                 hashed, checked = hashing.as_signed(lines.hashes()), lines.checks()
                 for c in range(0, len(full), _PARTS):
                     which = full[c : c + _PARTS]
                     new = met.fresh(hashed[which])
-                    size, at, keys = keys_of(lines, which[new])
+                    own_sketch, size, at, keys = keys_of(lines, which[new])
+                    sketch = np.zeros(len(which), np.uint64)
+                    sketch[new] = own_sketch
                     n, part, lists = np.zeros(len(which), np.int64), (keys >> np.uint64(1)) % np.uint64(KEY_PARTS), []
                     n[new] = size
                     for p in range(KEY_PARTS):
@@ -251,46 +311,83 @@ def occurrences(docs: DataFrame, k: int, threshold: float, bands: int, rows: int
                         many = np.zeros(len(which), np.int64)
                         many[new] = np.bincount(at[own], minlength=len(new))
                         lists.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(many)].astype(np.int32)), pa.array(hashing.as_signed(keys[own]))))
-                    yield _batch(head.take(pa.array(lines.doc[which])), lines.line[which], pa.array(hashed[which]), pa.array(checked[which]), n, pa.nulls(len(which), blanks.type), lists)
+                    yield _batch(head.take(pa.array(lines.doc[which])), lines.line[which], pa.array(hashed[which]), pa.array(checked[which]), n, pa.nulls(len(which), blanks.type), pa.array(hashing.as_signed(sketch)), lists)
 
     kind = docs.schema["_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"_row long, _id {kind}, _line long, _h long, _check int, _n long, _list array<long>, " + ", ".join(f"{c} array<long>" for c in _key_columns()))
+    return docs.mapInArrow(run, f"_row long, _id {kind}, _line long, _h long, _check int, _n long, _list array<long>, _sketch long, " + ", ".join(f"{c} array<long>" for c in _key_columns()))
 
 
 def _key_columns() -> list[str]:
     return [f"_keys_{p}" for p in range(KEY_PARTS)]
 
 
-def _batch(ids: pa.RecordBatch, line, h, check, n, blanks, lists) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*ids.columns, pa.array(line.astype(np.int64)), h, check, pa.array(n.astype(np.int64)), blanks, *lists], names=["_row", "_id", "_line", "_h", "_check", "_n", "_list", *_key_columns()])
+def _batch(ids: pa.RecordBatch, line, h, check, n, blanks, sketch, lists) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*ids.columns, pa.array(line.astype(np.int64)), h, check, pa.array(n.astype(np.int64)), blanks, sketch, *lists], names=["_row", "_id", "_line", "_h", "_check", "_n", "_list", "_sketch", *_key_columns()])
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in fewer batches, of OUT_ROWS or a little more, as each batch has its costs in the JVM."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= OUT_ROWS:
+            yield pa.concat_batches(held)
+            held, rows = [], 0
+    if held:
+        yield pa.concat_batches(held)
 
 
 def shared_keys(keys: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Rows of ``keys`` (``_key``, ``_row``, ``_n``) whose key has another item of a size that can reach the threshold,
-    each (key, item) once.
+    """Rows of ``keys`` (``_key``, ``_row``, ``_n`` and, if there are sketches, ``_sketch``) whose key has another item
+    that can reach the threshold by its size and sketch, each (key, item) once.
 
-    The rows of a partition come sorted by key and size, so an item of such a size, if there is one, is its neighbour's;
-    they are passed over once, and nothing is held but the last one."""
+    The rows of a partition come sorted by key and size. The items of a key are compared in pairs if there are at most
+    SKETCHED; of more, all with a neighbour of like size are passed on. Nothing is held but the rows of one such key, or
+    the last row of a larger one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # key, item, shingles, whether its item is out already
+        held = None  # columns of the last key's rows, and whether they are found to stay
+        large = False
         for batch in batches:
-            key, row, n = (np.asarray(batch.column(i)) for i in range(3))
-            if last is not None:
-                key, row, n = np.r_[last[0], key], np.r_[last[1], row], np.r_[last[2], n]
-            if not len(key):
+            cols = [np.asarray(batch.column(i)) for i in range(4)] + [np.zeros(batch.num_rows, dtype=bool)]
+            if held is not None:
+                cols = [np.r_[x, y] for x, y in zip(held, cols, strict=True)]
+            if not len(cols[0]):
                 continue
-            new = np.r_[True, (key[1:] != key[:-1]) | (row[1:] != row[:-1])]
-            key, row, n = key[new], row[new], n[new]
-            same = (key[1:] == key[:-1]) & (n[:-1] >= threshold * n[1:] - 1e-9)
-            out = np.r_[False, same] | np.r_[same, False]
-            if last is not None and last[3]:
-                out[0] = False
-            done = (bool(last[3]) if last is not None and len(key) == 1 else False) or bool(out[-1])
-            last = (key[-1], row[-1], n[-1], done)
-            if out.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (key, row, n)], names=["_key", "_row", "_n"])
-
+            new = np.r_[True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])]
+            key, row, n, sketch, ok = cols = [x[new] for x in cols]
+            same = key[1:] == key[:-1]
+            edge = np.r_[0, np.flatnonzero(~same) + 1, len(key)]
+            more = np.diff(edge) > SKETCHED
+            more[0] |= large
+            in_more = np.repeat(more, np.diff(edge))
+            like = same & in_more[1:] & (n[:-1] >= threshold * n[1:] - 1e-9)
+            ok |= np.r_[False, like] | np.r_[like, False]
+            a, step = np.flatnonzero(same & ~in_more[1:]), 1
+            while len(a):
+                b = a + step
+                # sets at the threshold differ in this share of the sum of their sizes
+                most = (n[a] + n[b]) * ((1 - threshold) / (1 + threshold)) + 1e-5
+                near_by = (n[a] >= threshold * n[b] - 1e-9) & (np.bitwise_count((sketch[a] ^ sketch[b]).view(np.uint64)) <= most)
+                ok[a[near_by]] = ok[b[near_by]] = True
+                step += 1
+                a = a[a + step < len(key)]
+                a = a[key[a] == key[a + step]]
+            large = bool(more[-1])
+            keep = len(key) - 1 if large else edge[-2]
+            held = [x[keep:] for x in cols]
+            yield from _rows(*(x[:keep] for x in cols))
+        if held is not None:
+            yield from _rows(*held)
+
+    def _rows(key, row, n, _, ok) -> Iterator[pa.RecordBatch]:
+        if ok.any():
+            yield pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in (key, row, n)], names=["_key", "_row", "_n"])
+
+    if "_sketch" not in keys.columns:
+        keys = keys.withColumn("_sketch", F.lit(0).cast("long"))
+    keys = keys.select("_key", "_row", F.col("_n").cast("long").alias("_n"), "_sketch")
     return keys.repartition("_key").sortWithinPartitions("_key", "_n", "_row").mapInArrow(run, "_key long, _row long, _n long")
 
 
@@ -300,16 +397,19 @@ def candidate_lines(docs: DataFrame, bits: np.ndarray) -> DataFrame:
     A task gives a line once while it remembers it; the copies of a common line are combined before they are dealt."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _gathered(some(batches))
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met = Met()
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for a, b in _groups(texts):
                 lines = Lines(texts[a:b])
-                h, check = hashing.as_signed(lines.hashes()), lines.checks()
+                h = hashing.as_signed(lines.hashes())
                 hit = np.flatnonzero(near.passes(bits, h) & ~lines.blank)
                 take = hit[met.fresh(h[hit])]
                 if len(take):
-                    yield pa.RecordBatch.from_arrays([pa.array(h[take]), pa.array(check[take]), pa.array([lines.text(i) for i in take], pa.string())], names=["_h", "_check", "_text"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h[take]), pa.array(lines.checks(take)), pa.array([lines.text(i) for i in take], pa.string())], names=["_h", "_check", "_text"])
 
     found = docs.mapInArrow(run, "_h long, _check int, _text string")
     # of lines that share a hash the one with the least further bits stands for it
@@ -321,8 +421,8 @@ def shingler(k: int):
     """Distinct shingles of whole lines."""
 
     def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        lines = Lines(texts)
-        return lines.shingles(np.arange(len(texts)), k)
+        parts = [(a, *Lines(texts[a:b]).shingles(np.arange(b - a), k)) for a, b in _groups(texts)]
+        return np.concatenate([a + at for a, at, _ in parts]), np.concatenate([h for *_, h in parts])
 
     return shingles
 
@@ -344,17 +444,18 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = materialize(occurrences(source, k, threshold, bands, rows, more), "lines")
 
     def keys_of(part: str) -> DataFrame:
-        keys = found.where("_line >= 0").select(F.explode(part).alias("_key"), F.col("_h").alias("_row"), "_n")
+        keys = found.where("_line >= 0").select(F.explode(part).alias("_key"), F.col("_h").alias("_row"), "_n", "_sketch")
         if fine is None:
             return keys
-        own = F.when(F.col("_key").bitwiseAND(F.lit(1)) == 1, F.col("_n").bitwiseAND(F.lit((1 << _SIZE_BITS) - 1))).otherwise(F.shiftright("_n", _SIZE_BITS))
-        return keys.withColumn("_n", own)
+        short = F.col("_key").bitwiseAND(F.lit(1)) == 1
+        own = F.when(short, F.col("_n").bitwiseAND(F.lit((1 << _SIZE_BITS) - 1))).otherwise(F.shiftright("_n", _SIZE_BITS))
+        return keys.withColumns({"_n": own, "_sketch": F.when(short, F.col("_sketch")).otherwise(F.lit(0).cast("long"))})
 
     with number_batches(docs.sparkSession):
         parts = [materialize(shared_keys(keys_of(part), threshold), "shared") for part in _key_columns()]
     shared = reduce(DataFrame.unionByName, parts)
     # the keys, most of that table, are not needed any more
-    slim = materialize(found.drop(*_key_columns()), "lines")
+    slim = materialize(found.drop("_sketch", *_key_columns()), "lines")
     release(found)
     each, heads = slim.where("_line >= 0"), slim.where("_line = -1")
     # texts are read once for the candidates of either size of shingle

@@ -65,13 +65,12 @@ def minima(h: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
 
 def band_keys(low: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """A 64-bit key for each band of each row; the band's number is part of it."""
-    out = np.empty((len(low), bands), dtype=np.uint64)
-    for b in range(bands):
-        key = np.full(len(low), (b + 1) * 0xA24BAED4963EE407 % (1 << 64), dtype=np.uint64)
-        for x in range(b * rows, (b + 1) * rows):
-            key = hashing.mix(key ^ low[:, x])
-        out[:, b] = key
-    return out
+    parts = low.T.reshape(bands, rows, len(low))
+    first = [(b + 1) * 0xA24BAED4963EE407 % (1 << 64) for b in range(bands)]
+    key = np.repeat(np.array(first, dtype=np.uint64)[:, None], len(low), axis=1)
+    for x in range(rows):
+        key = hashing.mix(key ^ parts[:, x])
+    return key.T
 
 
 def candidate_groups(keys: DataFrame) -> DataFrame:

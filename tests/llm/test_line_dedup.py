@@ -200,3 +200,70 @@ def test_band_keys_are_sorted_in_parts(spark, monkeypatch):
     D.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), fine=D.FINE).collect()
     assert len(seen) > 1 and max(seen) < 0.6 * sum(seen)
     assert not [c for c in [cols for tag, cols in names if tag == "lines"][-1] if c.startswith("_keys")]
+
+
+def test_sketches_differ_no_more_than_sets():
+    rng = np.random.default_rng(5)
+    for n in (1, 20, 60, 110):
+        a = np.unique(rng.integers(0, 1 << 44, n, dtype=np.uint64))
+        b = np.unique(np.r_[a[n // 4 :], rng.integers(0, 1 << 44, n // 4 + 1, dtype=np.uint64)])
+        x, none, y = D.sketches(np.r_[a, b], np.array([len(a), 0, len(b)]))
+        assert none == 0 and int(x ^ y).bit_count() <= len(np.setxor1d(a, b))
+
+
+@pytest.mark.parametrize("batch", [3, 50, 10_000])
+def test_shared_keys_by_sketch(spark, batch):
+    """Of items that share a key those without one of a like size and sketch go, whatever the batches; all bits count."""
+    rng = random.Random(6)
+    rows = [(k, 1000 * k + i, rng.choice([40, 50, 60]), rng.choice([0, (1 << 8) - 1, (1 << 20) - 1, -1, -1 << 63, (-1 << 63) + 1])) for k in range(60) for i in range(rng.choice([1, 2, 3, 9]))]
+    # a bucket that is not looked at in pairs
+    rows += [(99, i, 50, -1 if i % 2 else 0) for i in range(D.SKETCHED + 50)]
+    rows = [*rows, *rng.sample(rows, 50)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        got = sorted((r["_key"], r["_row"]) for r in D.shared_keys(spark.createDataFrame(rows, "_key long, _row long, _n long, _sketch long")).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+    def like(x, y):
+        apart = ((x[3] ^ y[3]) & (1 << 64) - 1).bit_count()
+        return x[:2] != y[:2] and x[0] == y[0] and min(x[2], y[2]) >= 0.8 * max(x[2], y[2]) and (apart <= (x[2] + y[2]) / 9 or x[0] == 99)
+
+    assert got == sorted({x[:2] for x in rows if any(like(x, y) for y in rows)})
+
+
+def test_unrelated_short_lines_are_no_candidates(make, monkeypatch):
+    """Lines of few words share buckets, not links: their texts are not fetched, and what is linked stays so."""
+    from .conftest import rows_of
+
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(14)]
+    lines = list(dict.fromkeys(" ".join(rng.sample(words, 9)) for _ in range(400)))
+    lines += [line[:i] + "Ж" + line[i:] for line in lines[::10] for i in [rng.randrange(len(line))]]
+    sets = [frozenset(t.lower()[i : i + 3] for i in range(len(t) - 2)) for t in lines]
+    links = {(i, j) for j in range(len(lines)) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    parent = list(range(len(lines)))
+    for i, j in sorted(links, key=lambda x: x[1]):
+        label = {parent[i], parent[j]}
+        parent = [min(label) if p in label else p for p in parent]
+    seen = []
+    groups = D.near.candidate_groups
+    monkeypatch.setattr(D.near, "candidate_groups", lambda keys: seen.append(keys.select("_row").distinct().count()) or groups(keys))
+    out = {r.doc_id: r.n_dropped for r in D.line_dedup(make(rows_of(lines)), fine=D.FINE).collect()}
+    assert [out[i] for i in range(len(lines))] == [int(p != i) for i, p in enumerate(parent)]
+    assert len({i for x in links for i in x}) <= seen[1] < 0.6 * len(lines)
+
+
+def test_lines_as_arrays():
+    texts = ["", "  ", "\t one \n\n two", " " * 50 + "three" + "　" * 30 + "\n" + " " * 40, "x\n" + " y" * 40, "😀 é" * 9 + " \n ab \n" + "z" * 300, "ab"]
+    lines = D.Lines(texts)
+    want = [x.strip() for t in texts for x in t.split("\n")]
+    assert [lines.text(i) for i in range(len(lines.start))] == want
+    assert lines.blank.tolist() == [not x for x in want]
+    full = np.flatnonzero(~lines.blank)
+    assert lines.checks(full[1::2]).tolist() == lines.checks()[full[1::2]].tolist()
+    # most lines at once and each by itself
+    at, h = lines.shingles(full, 8)
+    for i, line in enumerate(full):
+        assert lines.shingles(np.array([line]), 8)[1].tolist() == h[at == i].tolist()
+        assert len(h[at == i]) == len({want[line][j : j + 8] for j in range(max(1, len(want[line]) - 7))})
