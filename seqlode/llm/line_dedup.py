@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing, near
-from .common import materialize, number_batches, release, text_batches, text_or_empty
+from .common import block_batches, materialize, release, shuffle_partitions, text_batches, text_or_empty
 
 SHINGLE = 8
 THRESHOLD = 0.8
@@ -52,10 +52,12 @@ SMALL = 160
 #: Characters and lines that are worked on at a time (their arrays fit a processor's cache) and rows that leave together.
 BATCH_CHARS = 1 << 16
 OUT_ROWS = 20_000
+#: Band keys that a task deals at a time, and cells they are dealt to for each shuffle partition.
+DEALT_KEYS = 1 << 18
+CELLS = 8
 #: Slots of the memory of lines that a task has met; a line that has been pushed out of it only costs time.
 MET_SLOTS = 1 << 20
 _HASH_BITS = 44
-_SIZE_BITS = 31
 _SECOND = np.uint64(0x14057B7EF767814F)
 
 
@@ -168,14 +170,17 @@ def _borrow(n: int) -> np.ndarray:
     return np.argsort(keys, axis=1)
 
 
-def _one_permutation(row: np.ndarray, h: np.ndarray, rows: int, n: int) -> np.ndarray:
-    """Least hash of each bin; (row, h) are sorted, so it is the first one of its bin."""
-    spot = (h * np.uint64(n)) >> np.uint64(_HASH_BITS)
-    cell = row * n + spot.astype(np.int64)
-    new = np.r_[True, cell[1:] != cell[:-1]]
+def _one_permutation(size: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    """Least hash of each bin; each set's hashes are sorted, so it is the first one of its bin."""
+    rows = len(size)
+    cell = h * np.uint64(n)
+    cell >>= np.uint64(_HASH_BITS)
+    cell += np.repeat(np.arange(0, rows * n, n, dtype=np.uint64), size)
+    new = np.r_[0, np.flatnonzero(cell[1:] != cell[:-1]) + 1]
     out = np.zeros(rows * n, dtype=np.uint64)
     has = np.zeros(rows * n, dtype=bool)
-    out[cell[new]], has[cell[new]] = hashing.mix(h[new] + np.uint64(1)), True
+    cell = cell[new].astype(np.int64)
+    out[cell], has[cell] = hashing.mix(h[new] + np.uint64(1)), True
     out, has = out.reshape(rows, n), has.reshape(rows, n)
     r, b = np.nonzero(~has)
     order = _borrow(n)[b]
@@ -209,10 +214,9 @@ def signatures(lines: Lines, which: np.ndarray, k: int, threshold: float, bands:
             continue
         part = np.zeros(len(which), dtype=bool)
         part[own] = True
-        part = part[at]
-        h_own, size_own = h[part], size[own]
+        h_own, size_own = h if part.all() else h[np.repeat(part, size)], size[own]
         if large:
-            low = _one_permutation(np.repeat(np.arange(len(own)), size_own), h_own, len(own), n)
+            low = _one_permutation(size_own, h_own, n)
         else:
             low = near.minima(hashing.mix(h_own), np.cumsum(size_own) - size_own, n)
         keys = near.band_keys(low, bands, rows) ^ np.uint64(0x5851F42D4C957F2D if large else 0)
@@ -253,38 +257,40 @@ class Met:
         return np.sort(first)
 
 
-def occurrences(docs: DataFrame, k: int, threshold: float, bands: int, rows: int, fine: tuple[int, int, int] | None = None) -> DataFrame:
-    """Rows of two kinds from ``docs`` (``_row``, ``_id``, ``_text``). For each text one with ``_line`` -1, ``_n`` its number
+def occurrences(docs: DataFrame, k: int, threshold: float, bands: int, rows: int, fine: tuple[int, int, int] | None = None, cells: int = 1) -> DataFrame:
+    """Rows of three kinds from ``docs`` (``_row``, ``_id``, ``_text``). For each text one with ``_line`` -1, ``_n`` its number
     of lines and ``_list`` those that are blank; for each other line one with ``_line``, ``_h`` and ``_check`` its hashes,
-    ``_n`` its shingles and ``_keys_0``, ``_keys_1``, ... its band keys, dealt by their value, empty if this task remembers
-    the line.
+    hashes. Between them rows of a third kind with ``_line`` -2, ``_n`` a cell and ``_keys_0``, ``_keys_1``, ... the band keys
+    that fall into that cell, in parts: keys, hashes of their lines, numbers of shingles and sketches one after another as
+    64-bit numbers. A line that this task remembers has no keys.
 
-    With ``fine`` (characters, bands, rows) the last bit of a key is 1 if it comes from the shorter shingles, and ``_n``
-    has their number in its last _SIZE_BITS bits, that of the others above them. ``_sketch`` is that of the shorter
-    shingles, if there are any."""
+    With ``fine`` (characters, bands, rows) the last bit of a key is 1 if it comes from the shorter shingles; only those have
+    sketches."""
     # distinct shingles of the largest short line, and characters that a line needs to resemble one with more of them
     most = FINE_CHARS - k + 1
     least = int(np.ceil(threshold * (most + 1) - 1e-9)) + k - 1
 
-    def keys_of(lines: Lines, which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def keys_of(lines: Lines, which: np.ndarray) -> list[np.ndarray]:
+        """Keys of the lines ``which``, and for each its position in ``which``, its line's shingles and sketch."""
         sketch = np.zeros(len(which), dtype=np.uint64)
         if fine is None:
-            return sketch, *signatures(lines, which, k, threshold, bands, rows, sketch)
+            size, at, keys = signatures(lines, which, k, threshold, bands, rows, sketch)
+            return [keys, at, size[at], sketch[at]]
         length = lines.end[which] - lines.start[which]
         long = np.flatnonzero(length >= least)
-        size, fine_size = np.zeros((2, len(which)), dtype=np.int64)
+        size = np.zeros(len(which), dtype=np.int64)
         size[long], at, keys = signatures(lines, which[long], k, threshold, bands, rows)
         short = np.flatnonzero((length <= FINE_CHARS) | (size <= most))
-        short_sketch = np.zeros(len(short), dtype=np.uint64)
-        fine_size[short], own, more = signatures(lines, which[short], fine[0], threshold, *fine[1:], short_sketch)
-        sketch[short] = short_sketch
-        return sketch, size << _SIZE_BITS | fine_size, np.r_[long[at], short[own]], np.r_[keys & ~np.uint64(1), more | np.uint64(1)]
+        sketch = sketch[: len(short)]
+        fine_size, own, more = signatures(lines, which[short], fine[0], threshold, *fine[1:], sketch)
+        of = long[at]
+        return [np.r_[keys & ~np.uint64(1), more | np.uint64(1)], np.r_[of, short[own]], np.r_[size[of], fine_size[own]], np.r_[np.zeros(len(at), np.uint64), sketch[own]]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _gathered(some(batches))
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met = Met()
+        met, held, n = Met(), [], 0
         for batch in batches:
             ids, texts = batch.select([0, 1]), batch.column(2).to_pylist()
             for a, b in _groups(texts):
@@ -293,36 +299,50 @@ def occurrences(docs: DataFrame, k: int, threshold: float, bands: int, rows: int
                 blank = np.bincount(lines.doc[lines.blank], minlength=b - a)
                 blanks = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(blank)].astype(np.int32)), pa.array(lines.line[lines.blank].astype(np.int64)))
                 head = ids.slice(a, b - a)
-                none = [pa.nulls(b - a, blanks.type)] * KEY_PARTS
-                yield _batch(head, np.full(b - a, -1), pa.nulls(b - a, pa.int64()), pa.nulls(b - a, pa.int32()), count, blanks, pa.nulls(b - a, pa.int64()), none)
+                yield _batch(head, np.full(b - a, -1), None, None, count, blanks)
                 full = np.flatnonzero(~lines.blank)
                 hashed, checked = hashing.as_signed(lines.hashes()), lines.checks()
+                yield _batch(head.take(pa.array(lines.doc[full])), lines.line[full], hashed[full], checked[full], np.zeros(len(full)))
                 for c in range(0, len(full), _PARTS):
                     which = full[c : c + _PARTS]
-                    new = met.fresh(hashed[which])
-                    own_sketch, size, at, keys = keys_of(lines, which[new])
-                    sketch = np.zeros(len(which), np.uint64)
-                    sketch[new] = own_sketch
-                    n, part, lists = np.zeros(len(which), np.int64), (keys >> np.uint64(1)) % np.uint64(KEY_PARTS), []
-                    n[new] = size
-                    for p in range(KEY_PARTS):
-                        own = np.flatnonzero(part == p)
-                        own = own[np.argsort(at[own], kind="stable")]
-                        many = np.zeros(len(which), np.int64)
-                        many[new] = np.bincount(at[own], minlength=len(new))
-                        lists.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(many)].astype(np.int32)), pa.array(hashing.as_signed(keys[own]))))
-                    yield _batch(head.take(pa.array(lines.doc[which])), lines.line[which], pa.array(hashed[which]), pa.array(checked[which]), n, pa.nulls(len(which), blanks.type), pa.array(hashing.as_signed(sketch)), lists)
+                    which = which[met.fresh(hashed[which])]
+                    keys, at, size, sketch = keys_of(lines, which)
+                    held.append(np.stack([hashing.as_signed(keys), hashed[which[at]], size, hashing.as_signed(sketch)]))
+                    n += len(keys)
+                    if n >= DEALT_KEYS:
+                        yield _dealt(held, cells, ids.schema)
+                        held, n = [], 0
+        if n:
+            yield _dealt(held, cells, ids.schema)
 
     kind = docs.schema["_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"_row long, _id {kind}, _line long, _h long, _check int, _n long, _list array<long>, _sketch long, " + ", ".join(f"{c} array<long>" for c in _key_columns()))
+    return docs.mapInArrow(run, f"_row long, _id {kind}, _line long, _h long, _check int, _n long, _list array<long>, " + ", ".join(f"{c} binary" for c in _key_columns()))
 
 
 def _key_columns() -> list[str]:
     return [f"_keys_{p}" for p in range(KEY_PARTS)]
 
 
-def _batch(ids: pa.RecordBatch, line, h, check, n, blanks, sketch, lists) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*ids.columns, pa.array(line.astype(np.int64)), h, check, pa.array(n.astype(np.int64)), blanks, sketch, *lists], names=["_row", "_id", "_line", "_h", "_check", "_n", "_list", "_sketch", *_key_columns()])
+def _batch(ids: pa.RecordBatch, line, h, check, n, blanks=None, keys=None) -> pa.RecordBatch:
+    def column(x, kind: pa.DataType) -> pa.Array:
+        return pa.nulls(len(line), kind) if x is None else pa.array(x, kind)
+
+    cols = [column(line, pa.int64()), column(h, pa.int64()), column(check, pa.int32()), column(n.astype(np.int64), pa.int64())]
+    blanks = pa.nulls(len(line), pa.list_(pa.int64())) if blanks is None else blanks
+    lists = [column(x, pa.binary()) for x in keys or [None] * KEY_PARTS]
+    return pa.RecordBatch.from_arrays([*ids.columns, *cols, blanks, *lists], names=["_row", "_id", "_line", "_h", "_check", "_n", "_list", *_key_columns()])
+
+
+def _dealt(held: list[np.ndarray], cells: int, ids: pa.Schema) -> pa.RecordBatch:
+    """Rows of cells from columns of keys, lines, shingles and sketches."""
+    rows = np.concatenate(held, axis=1)
+    slot = ((hashing.mix(rows[0].view(np.uint64)) >> np.uint64(32)) % np.uint64(cells * KEY_PARTS)).astype(np.uint16 if cells * KEY_PARTS < 1 << 16 else np.uint32)
+    order = np.argsort(slot, kind="stable")
+    rows, edge = rows[:, order], np.searchsorted(slot[order], np.arange(cells * KEY_PARTS + 1)).tolist()
+    used = [c for c in range(cells) if edge[c * KEY_PARTS] < edge[(c + 1) * KEY_PARTS]]
+    keys = [[rows[:, edge[i] : edge[i + 1]].tobytes() or None for i in range(p, cells * KEY_PARTS, KEY_PARTS)] for p in range(KEY_PARTS)]
+    none = pa.RecordBatch.from_arrays([pa.nulls(len(used), t) for t in ids.types], schema=ids)
+    return _batch(none, np.full(len(used), -2), None, None, np.array(used), keys=[[x[c] for c in used] for x in keys])
 
 
 def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -340,7 +360,8 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def shared_keys(keys: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Rows of ``keys`` (``_key``, ``_row``, ``_n`` and, if there are sketches, ``_sketch``) whose key has another item
-    that can reach the threshold by its size and sketch, each (key, item) once.
+    that can reach the threshold by its size and sketch, each (key, item) once. ``keys`` may also have ``_cell`` and
+    ``_keys``, as ``occurrences`` deals them; then nothing is done for single keys outside numpy, and a task holds a cell.
 
     The rows of a partition come sorted by key and size. The items of a key are compared in pairs if there are at most
     SKETCHED; of more, all with a neighbour of like size are passed on. Nothing is held but the rows of one such key, or
@@ -349,8 +370,8 @@ def shared_keys(keys: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None  # columns of the last key's rows, and whether they are found to stay
         large = False
-        for batch in batches:
-            cols = [np.asarray(batch.column(i)) for i in range(4)] + [np.zeros(batch.num_rows, dtype=bool)]
+        for cols in of_cells(batches) if celled else ([np.asarray(x) for x in batch.columns] for batch in batches):
+            cols = [*cols, np.zeros(len(cols[0]), dtype=bool)]
             if held is not None:
                 cols = [np.r_[x, y] for x, y in zip(held, cols, strict=True)]
             if not len(cols[0]):
@@ -385,6 +406,29 @@ def shared_keys(keys: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         if ok.any():
             yield pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in (key, row, n)], names=["_key", "_row", "_n"])
 
+    def of_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+        now, parts = None, []
+        for batch in batches:
+            for cell, part in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if cell != now and parts:
+                    yield in_order(parts)
+                    parts = []
+                now = cell
+                parts.append(np.frombuffer(part, dtype=np.int64).reshape(4, -1))
+        if parts:
+            yield in_order(parts)
+
+    def in_order(parts: list[np.ndarray]) -> list[np.ndarray]:
+        rows = np.concatenate(parts, axis=1)
+        order = np.argsort(rows[0])
+        key = rows[0][order]
+        same = key[1:] == key[:-1]
+        rows = rows[:, order[np.r_[False, same] | np.r_[same, False]]]
+        return list(rows[:, np.lexsort((rows[1], rows[2], rows[0]))])
+
+    celled = "_cell" in keys.columns
+    if celled:
+        return keys.select("_cell", "_keys").repartition("_cell").sortWithinPartitions("_cell").mapInArrow(run, "_key long, _row long, _n long")
     if "_sketch" not in keys.columns:
         keys = keys.withColumn("_sketch", F.lit(0).cast("long"))
     keys = keys.select("_key", "_row", F.col("_n").cast("long").alias("_n"), "_sketch")
@@ -441,21 +485,14 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = text_or_empty(text_col).alias("_text")
     source = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), text)
     more = None if fine is None else (fine, *near.choose_bands(threshold, recall, MAX_FINE_BANDS))
-    found = materialize(occurrences(source, k, threshold, bands, rows, more), "lines")
-
-    def keys_of(part: str) -> DataFrame:
-        keys = found.where("_line >= 0").select(F.explode(part).alias("_key"), F.col("_h").alias("_row"), "_n", "_sketch")
-        if fine is None:
-            return keys
-        short = F.col("_key").bitwiseAND(F.lit(1)) == 1
-        own = F.when(short, F.col("_n").bitwiseAND(F.lit((1 << _SIZE_BITS) - 1))).otherwise(F.shiftright("_n", _SIZE_BITS))
-        return keys.withColumns({"_n": own, "_sketch": F.when(short, F.col("_sketch")).otherwise(F.lit(0).cast("long"))})
-
-    with number_batches(docs.sparkSession):
-        parts = [materialize(shared_keys(keys_of(part), threshold), "shared") for part in _key_columns()]
+    cells = CELLS * shuffle_partitions(docs.sparkSession)
+    found = materialize(occurrences(source, k, threshold, bands, rows, more, cells), "lines")
+    with block_batches(docs.sparkSession):
+        dealt = [found.where("_line = -2").select(F.col("_n").alias("_cell"), F.col(part).alias("_keys")).where("_keys IS NOT NULL") for part in _key_columns()]
+        parts = [materialize(shared_keys(keys, threshold), "shared") for keys in dealt]
     shared = reduce(DataFrame.unionByName, parts)
     # the keys, most of that table, are not needed any more
-    slim = materialize(found.drop("_sketch", *_key_columns()), "lines")
+    slim = materialize(found.where("_line >= -1").drop(*_key_columns()), "lines")
     release(found)
     each, heads = slim.where("_line >= 0"), slim.where("_line = -1")
     # texts are read once for the candidates of either size of shingle

@@ -209,9 +209,15 @@ def _linked_pairs(a, b, name, block, keys, key_at, h, set_at, threshold: float)
     x, of = _ragged(set_at, np.r_[a, b])
     of = of % max(1, len(a))
     s = h[x]
-    order = np.lexsort((s, of))
-    s, of = s[order], of[order]
-    common = np.bincount(of[1:][(s[1:] == s[:-1]) & (of[1:] == of[:-1])], minlength=len(a))
+    if len(s) and len(a) < 1 << 20 and s.max() < 1 << 44:
+        # pair and hash fit one number
+        both = of.astype(np.uint64) << np.uint64(44) | s
+        both.sort()
+        common = np.bincount((both[1:][both[1:] == both[:-1]] >> np.uint64(44)).astype(np.int64), minlength=len(a))
+    else:
+        order = np.lexsort((s, of))
+        s, of = s[order], of[order]
+        common = np.bincount(of[1:][(s[1:] == s[:-1]) & (of[1:] == of[:-1])], minlength=len(a))
     ok = common * (1 + threshold) >= threshold * (size[a] + size[b]) - 1e-6
     return a[ok], b[ok]
 

@@ -267,3 +267,28 @@ def test_lines_as_arrays():
     for i, line in enumerate(full):
         assert lines.shingles(np.array([line]), 8)[1].tolist() == h[at == i].tolist()
         assert len(h[at == i]) == len({want[line][j : j + 8] for j in range(max(1, len(want[line]) - 7))})
+
+
+def test_keys_are_dealt_in_cells(spark):
+    """Keys reach the search in blocks, not as rows, and the search finds what it finds in rows."""
+    rng = random.Random(8)
+    texts = ["\n".join("".join(rng.choices("abcd ", k=rng.choice([9, 30, 110, 300]))) for _ in range(20)) for _ in range(20)]
+    texts += [t.replace("a ", "b ", 1) for t in texts]
+    docs = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "_row long, _id long, _text string").repartition(3)
+    found = D.occurrences(docs, 8, 0.8, 12, 4, (3, 16, 5), 7).cache()
+    blocks = found.where("_line = -2")
+    cells = [r for p in D._key_columns() for r in blocks.select("_n", p).where(f"{p} IS NOT NULL").collect()]
+    assert len(cells) <= 3 * 7 * D.KEY_PARTS and {r[0] for r in cells} <= set(range(7))
+    rows = np.concatenate([np.frombuffer(r[1], dtype=np.int64).reshape(4, -1) for r in cells], axis=1)
+    # of each line all keys are there, and sketches for the shorter shingles only
+    lines = D.Lines(texts)
+    short, long = ((np.flatnonzero(x & ~lines.blank)) for x in (lines.end - lines.start <= D.FINE_CHARS, lines.end - lines.start > D.FINE_CHARS))
+    hashes = lines.hashes().view(np.int64)
+    fine = rows[:, rows[0] & 1 == 1]
+    assert {(k | 1, hashes[short[i]]) for _, at, keys in [D.signatures(lines, short, 3, 0.8, 16, 5)] for i, k in zip(at, keys.view(np.int64), strict=True)} <= set(zip(fine[0], fine[1], strict=True))
+    assert set(hashes[long]) <= set(rows[1, rows[0] & 1 == 0]) and not rows[3, rows[0] & 1 == 0].any() and fine[3].all()
+    got = [D.shared_keys(blocks.selectExpr("_n AS _cell", f"{p} AS _keys").where("_keys IS NOT NULL")) for p in D._key_columns()]
+    want = D.shared_keys(spark.createDataFrame(rows.T.tolist(), "_key long, _row long, _n long, _sketch long"))
+    out = sorted(tuple(r) for df in got for r in df.collect())
+    assert out == sorted(tuple(r) for r in want.collect()) and out
+    found.unpersist()
